@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.components import connected_components
+from tarn.llm.lookalike import form_classes, form_sql, look_alike_pairs
 from tarn.llm.splits import split_linked
 from tarn.llm.tokenize import encode_corpus
 from tarn.operators.packed import split_packed
@@ -43,7 +44,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p7_found": p7_found, "p8_ids": p8_ids}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return look_alike_pairs(table(spark, d, "documents"), "doc_id", "text").toDF("doc_id_a", "doc_id_b")
+
+
+def p10_forms(spark: SparkSession, d: str) -> DataFrame:
+    return form_classes(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p4_found": p4_found, "p4_splits": p4_splits, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_forms": p10_forms,
+}
 
 _GROUPS = """
 RECURSIVE l AS (SELECT DISTINCT source1_entity_id AS a, unnest(regexp_extract_all(matched_entity_ids, 'S[23]-[0-9]{9}')) AS b FROM train_matches),
@@ -55,5 +66,7 @@ g AS (SELECT entity_id, min(other) AS group_id FROM r GROUP BY entity_id)
 
 SQL = {
     "p4_found": f"WITH {_GROUPS} SELECT x.entity_id AS source1_entity_id_a, y.entity_id AS source1_entity_id_b FROM g x JOIN g y USING (group_id) WHERE x.entity_id < y.entity_id AND x.entity_id LIKE 'S1-%' AND y.entity_id LIKE 'S1-%'",
+    "p10_found": f"WITH f AS (SELECT doc_id, text, {form_sql('text')} AS form FROM documents) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text WHERE regexp_matches(a.form, '\\S')",
+    "p10_forms": f"SELECT doc_id, CASE WHEN regexp_matches(form, '\\S') THEN md5(form) END AS form, CASE WHEN regexp_matches(form, '\\S') THEN md5(text) END AS exact FROM (SELECT doc_id, text, {form_sql('text')} AS form FROM documents)",
     "p7_found": f"WITH {_GROUPS} SELECT entity_id, group_id FROM g",
 }
