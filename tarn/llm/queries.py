@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.components import connected_components
+from tarn.llm.leaks import find_leaks
 from tarn.llm.lookalike import form_classes, form_sql, look_alike_pairs
 from tarn.llm.splits import split_linked
 from tarn.llm.tokenize import encode_corpus
@@ -52,7 +53,20 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return form_classes(table(spark, d, "documents"), "doc_id", "text")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", "answer")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", F.col("item").alias("item_id"))
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
 QUERIES = {
+    "p9_found": p9_found, "p9_leaks": p9_leaks,
     "p4_found": p4_found, "p4_splits": p4_splits, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_forms": p10_forms,
 }
 
