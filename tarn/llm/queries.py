@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarn.llm.components import connected_components
 from tarn.llm.leaks import find_leaks
 from tarn.llm.lookalike import form_classes, form_sql, look_alike_pairs
+from tarn.llm.names import same_organisation
 from tarn.llm.splits import split_linked
 from tarn.llm.tokenize import encode_corpus
 from tarn.operators.packed import split_packed
@@ -65,7 +66,13 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "train_source1").unionByName(table(spark, d, "train_source3"))
+    return same_organisation(rows, "entity_id", "business_name").toDF("entity_id_a", "entity_id_b")
+
+
 QUERIES = {
+    "p1_found": p1_found,
     "p9_found": p9_found, "p9_leaks": p9_leaks,
     "p4_found": p4_found, "p4_splits": p4_splits, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_forms": p10_forms,
 }
