@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm.addresses import same_location
 from tarn.llm.components import connected_components
 from tarn.llm.leaks import find_leaks
 from tarn.llm.lookalike import form_classes, form_sql, look_alike_pairs
@@ -38,6 +39,11 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return _splits(spark, d)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "train_source1").unionByName(table(spark, d, "train_source2"))
+    return same_location(rows, "entity_id", "business_address").toDF("entity_id_a", "entity_id_b")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(_links(spark, d), "source1_entity_id", "matched_entity_id", table(spark, d, "train_matches"), "source1_entity_id")
 
@@ -74,7 +80,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p9_found": p9_found, "p9_leaks": p9_leaks,
-    "p4_found": p4_found, "p4_splits": p4_splits, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_forms": p10_forms,
+    "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_forms": p10_forms,
 }
 
 _GROUPS = """
