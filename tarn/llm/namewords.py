@@ -5,7 +5,7 @@ Each line of a table holds a canonical word (or phrase) and its usual written va
 
 # Given names and their short forms (a short form may belong to several names).
 GIVEN = {
-    "abigail": "abby abbie gail", "alexander": "alex sandy alec xander", "anthony": "tony ant", "benjamin": "ben benj benny",
+    "abigail": "abby abbie gail", "alexander": "alex sandy alec xander sasha", "anthony": "tony ant", "benjamin": "ben benj benny",
     "charles": "charlie chas chuck", "dorothy": "dot dolly dottie", "edward": "ed ned ted eddie", "eleanor": "ellie nell nora",
     "elizabeth": "liz beth betty eliza lizzie", "frances": "fran frankie fanny", "guillaume": "guill guy", "henry": "hank harry",
     "james": "jim jimmy jas jamie", "josephine": "jo josie", "katherine": "kate kathy kat katie", "krishnan": "krishna kris",

@@ -9,6 +9,7 @@ from tarn.llm.addresses import same_location
 from tarn.llm.components import connected_components
 from tarn.llm.leaks import find_leaks
 from tarn.llm.lookalike import form_classes, form_sql, look_alike_pairs
+from tarn.llm.matching import match_entities
 from tarn.llm.names import same_organisation
 from tarn.llm.splits import split_linked
 from tarn.llm.tokenize import encode_corpus
@@ -39,6 +40,21 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return _splits(spark, d)
 
 
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    labels = _links(spark, d).toDF("l_id", "r_id").where("r_id LIKE 'S2-%'")
+    known = table(spark, d, "train_matches").select(F.col("source1_entity_id").alias("l_id"))
+    return match_entities(table(spark, d, "train_source1"), table(spark, d, "train_source2"), "entity_id", "business_name", "business_address", "country", labels, known=known)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    labelled = table(spark, d, "train_matches").select(F.col("source1_entity_id").alias("l_id"))
+    return _matches(spark, d).join(labelled, "l_id", "left_anti").where("confidence >= 0.5").select(F.col("l_id").alias("s1_entity_id"), F.col("r_id").alias("s2_entity_id"))
+
+
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "train_source1").unionByName(table(spark, d, "train_source2"))
     return same_location(rows, "entity_id", "business_address").toDF("entity_id_a", "entity_id_b")
@@ -80,7 +96,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p9_found": p9_found, "p9_leaks": p9_leaks,
-    "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_forms": p10_forms,
+    "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found, "p10_forms": p10_forms,
 }
 
 _GROUPS = """
