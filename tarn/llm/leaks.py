@@ -77,7 +77,7 @@ def best_match(item: np.ndarray, part: np.ndarray) -> int:
     span = min(SPAN, len(item))
     lost = span // TOLERANCE
     need = span - lost
-    if span == 0 or not len(part):
+    if span == 0 or len(part) < need or longest_common(item.tolist(), part.tolist()) < need:
         return 0
     wide = np.zeros((len(item), len(part) + 2 * len(item)), bool)
     wide[:, len(item) : len(item) + len(part)] = item[:, None] == part[None, :]
@@ -133,13 +133,25 @@ def sums(latent: np.ndarray, ids: np.ndarray, start: np.ndarray, length: int) ->
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 1e-9)
 
 
+def step_sums(latent: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Unit latent vectors of the n passages that begin at every STEP-th word of ids: sums of the steps they are made of."""
+    per = PASSAGE // STEP
+    whole = np.zeros((n + per - 1) * STEP, ids.dtype)
+    whole[: len(ids)] = ids[: len(whole)]
+    steps = latent[whole].reshape(n + per - 1, STEP, -1).sum(axis=1)
+    v = steps[:n].copy()
+    for k in range(1, per):
+        v += steps[k : k + n]
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 1e-6)
+
+
 def candidates(model: Model, ids: np.ndarray, cosine: float):
     """(start, item number, cosine) of all passages against all query passages, in blocks."""
     start = passages(ids)
     for lo in range(0, len(start), 4096):
         some = start[lo : lo + 4096]
-        base = some[0]
-        v = sums(model.latent, ids[base : some[-1] + PASSAGE], some - base, PASSAGE)
+        v = step_sums(model.latent, ids[some[0] : some[-1] + PASSAGE], len(some))
         for q in range(0, len(model.queries), 2048):
             score = v @ model.queries[q : q + 2048].T
             hit = np.flatnonzero(score.ravel() >= cosine)

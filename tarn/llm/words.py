@@ -8,7 +8,6 @@ import unicodedata
 
 from tarn.llm.lookalike import INVISIBLE, TRANSLATION
 
-_invisible = re.compile(f"[{INVISIBLE}]")
 _words = re.compile(r"[^\W_]+").findall
 # Marks of the layouts: cell headings and prompts, code fences, terminal codes.
 _marks = re.compile(r"^# %%(?: \[\w+\])?[^\n]*$|^(?:In|Out) ?\[[ \d]*\]:|^```\w*[ \t]*$|\x1b\[[0-9;]*[A-Za-z]", re.M)
@@ -16,10 +15,21 @@ _escapes = re.compile(r"\\(?:u([0-9a-fA-F]{4})|([nrtbf\"\\/]))")
 _skipped = {"cell_type", "output_type", "metadata", "name", "nbformat", "nbformat_minor", "execution_count", "id"}
 
 
+_special = re.compile(f"[{INVISIBLE}{re.escape(''.join(map(chr, TRANSLATION)))}]")
+
+
+def _plain(m: re.Match) -> str:
+    return TRANSLATION.get(ord(m[0]), "")
+
+
 def folded(text: str) -> str:
-    """Without invisible characters, look-alikes as their plain letters, lower case."""
+    """Without invisible characters, look-alikes as their plain letters, composed, lower case."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", _invisible.sub("", unicodedata.normalize("NFC", text)).translate(TRANSLATION))
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        text, n = _special.subn(_plain, text)
+        if n and not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
     return text.lower()
 
 
@@ -54,6 +64,6 @@ def words(text: str | None) -> list[str]:
     """Runs of letters and digits of the content, folded."""
     if not text:
         return []
-    if not text.isascii():  # full-width quotes would hide a notebook's structure
-        text = _invisible.sub("", text).translate(TRANSLATION)
+    if not text.isascii():  # look-alike brackets, quotes and letters would hide a layout's marks
+        text = _special.sub(_plain, text)
     return _words(folded(content(text)))
