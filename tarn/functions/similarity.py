@@ -52,19 +52,27 @@ def last_token_match(a: Column, b: Column) -> Column:
     return both_equal(last_token(a), last_token(b))
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence: one machine word of bits per block of a, per character of b."""
-    if not a or not b:
-        return 0
+def _masks(a: str) -> dict[str, int]:
+    """Where each character of a stands, as bits."""
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return masks
+
+
+def _common(masks: dict[str, int], n: int, b: str) -> int:
+    full = (1 << n) - 1
     s = full
     for c in b:
-        u = s & masks.get(c, 0)
-        s = (s + u | s - u) & full
-    return len(a) - s.bit_count()
+        if m := masks.get(c):
+            u = s & m
+            s = (s + u | s - u) & full
+    return n - s.bit_count()
+
+
+def lcs_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence: all of a in one integer of bits, a few operations per character of b."""
+    return _common(_masks(a), len(a), b) if a and b else 0
 
 
 def ratio(a: str, b: str) -> float:
@@ -104,16 +112,17 @@ def partial(a: str, b: str) -> float:
         n = len(short)
         if short in long:
             return 1.0
+        masks = _masks(short)
         most, i = 0, 0
         while i <= len(long) - n:
-            common = lcs_length(short, long[i : i + n])
+            common = _common(masks, n, long[i : i + n])
             most = max(most, common)
             i += most + 1 - common  # a step changes the common length by one at most
         best = most / n
         for k in range(n - 1, 0, -1):
             if 2 * k / (n + k) <= best:  # a shorter window can't score more
                 break
-            best = max(best, ratio(short, long[:k]), ratio(short, long[-k:]))
+            best = max(best, 2 * max(_common(masks, n, long[:k]), _common(masks, n, long[-k:])) / (n + k))
         return best
 
     if len(a) == len(b):

@@ -65,19 +65,28 @@ def pruned_scores(attached: DataFrame, coefficients: dict[str, float], intercept
     """attached + `passes`: whether the linear model's probability reaches threshold; equals full scoring of every pair.
 
     Each expensive feature lies in [0, 1], so its term adds between min(c, 0) and max(c, 0). Pairs that pass with the least, or
-    fail with the most, are decided without it; only the others are sent through the expensive kernels. The two branches are
-    filtered before the kernels, since a conditional would not keep Python from being called.
+    fail with the most, are decided without it; the others get the feature of the largest weight, and so on. Rows are filtered
+    before each kernel, since a conditional would not keep Python from being called.
     """
     cheap = {n: c for n, c in coefficients.items() if n not in expensive}
     late = {n: c for n, c in coefficients.items() if n in expensive}
     limit = math.log(threshold / (1 - threshold))
     base = cut(with_features(attached, list(cheap), guarded).withColumn("base", linear(cheap, intercept)))  # both branches read it
-    low, high = sum(min(c, 0) for c in late.values()), sum(max(c, 0) for c in late.values())
-    sure = (F.col("base") + low >= limit) | (F.col("base") + high < limit)
-    decided = base.where(sure).withColumn("passes", F.col("base") + low >= limit)
-    rest = with_features(base.where(~sure), list(late), guarded)
-    rest = rest.withColumn("passes", F.col("base") + linear(late, 0.0) >= limit).drop(*late)
-    return decided.unionByName(rest).drop("base")
+    done, rest, left = [], base, dict(late)
+    while True:
+        low, high = sum(min(c, 0) for c in left.values()), sum(max(c, 0) for c in left.values())
+        sure = (F.col("base") + low >= limit) | (F.col("base") + high < limit)
+        done.append(rest.where(sure).withColumn("passes", F.col("base") + low >= limit))
+        if not left:
+            break
+        name = max(left, key=lambda n: abs(left[n]))  # the one that decides most comes first
+        weight = left.pop(name)
+        scored = with_features(rest.where(~sure), [name], guarded)
+        rest = cut(scored.withColumn("base", F.col("base") + F.lit(float(weight)) * F.col(name)).drop(name))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.drop("base")
 
 
 def match_lists(s1: DataFrame, matches: DataFrame, ordered: bool = True) -> DataFrame:
