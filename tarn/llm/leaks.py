@@ -16,12 +16,12 @@ from tarn.storage import cut
 #: The shortest leak in words, and the share of its words that may be changed or missing.
 SPAN, TOLERANCE = 24, 8
 #: A corpus passage and the step to the next: any SPAN words lie whole in one. Query passages have SPAN words.
-PASSAGE, STEP, QUERY_STEP = 32, 8, 4
+PASSAGE, STEP, QUERY_STEP = 28, 4, 4
 #: Dimensions of the latent space, extra ones of the random sketch, passes of power iteration.
 RANK, OVERSAMPLE, POWER = 96, 16, 1
 #: Passages that the latent space is fitted on, taken by hash of the key; all are searched.
 FIT_PASSAGES = 100_000
-#: Least cosine of a candidate. See README for its measured recall.
+#: Least cosine of a candidate; the README has its measured recall.
 COSINE = 0.80
 #: Items are a stated query set; more than this many are searched in blocks.
 ITEM_BLOCK = 5_000

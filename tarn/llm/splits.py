@@ -15,36 +15,47 @@ BINS = 100
 SHARD_GROUPS = 50_000
 
 
-def largest_differencing(weights: list[list[float]], bins: int) -> list[list[list[int]]]:
+def largest_differencing(weights: list[list[float]], bins: int) -> list[list[tuple[int, int]]]:
     """Where each local bin goes. weights[i] is a partial solution: the weights of its (at most `bins`) own bins.
 
     Karmarkar-Karp for many bins: a heap holds partial solutions by their spread (heaviest less lightest bin); the two with
     the largest spread are combined, the heaviest bin of one with the lightest of the other, until one is left. Returns
-    `bins` lists of [i, local bin].
+    `bins` lists of (i, local bin).
     """
     heap = []
     for i, own in enumerate(weights):
-        cells = sorted(((float(w), [[i, k]]) for k, w in enumerate(own)), key=lambda c: -c[0])
-        cells += [(0.0, [])] * (bins - len(cells))
-        heapq.heappush(heap, (cells[-1][0] - cells[0][0], i, cells))
+        cells = sorted(((w, ((i, k),)) for k, w in enumerate(own)), key=lambda c: -c[0])
+        cells += [(0, ())] * (bins - len(cells))
+        heap.append((cells[-1][0] - cells[0][0], i, cells))
+    heapq.heapify(heap)
     n = len(weights)
     while len(heap) > 1:
         _, _, x = heapq.heappop(heap)
         _, _, y = heapq.heappop(heap)
-        merged = sorted(((x[k][0] + y[bins - 1 - k][0], x[k][1] + y[bins - 1 - k][1] if len(x[k][1]) else list(y[bins - 1 - k][1])) for k in range(bins)), key=lambda c: -c[0])
+        merged = sorted(((a[0] + b[0], (a[1], b[1]) if a[1] and b[1] else a[1] or b[1]) for a, b in zip(x, reversed(y))), key=lambda c: -c[0])
         heapq.heappush(heap, (merged[-1][0] - merged[0][0], n, merged))
         n += 1
-    return [members for _, members in heap[0][2]] if heap else [[] for _ in range(bins)]
+    return [_leaves(tree) for _, tree in heap[0][2]] if heap else [[] for _ in range(bins)]
+
+
+def _leaves(tree) -> list[tuple[int, int]]:
+    """The (i, local bin) of a tree of pairs; a leaf is a one-element tuple."""
+    out, stack = [], [tree]
+    while stack:
+        t = stack.pop()
+        if len(t) == 1:
+            out.append(t[0])
+        else:
+            stack.extend(t)
+    return out
 
 
 def _balance_simple(weights: list[int], bins: int) -> list[int]:
-    """The bin of each weight: blocks of equal rank first (one weight a bin), combined by largest differencing."""
-    order = sorted(range(len(weights)), key=lambda i: -weights[i])
-    blocks = [order[i : i + bins] for i in range(0, len(order), bins)]
+    """The bin of each weight, each being a partial solution of its own."""
     out = [0] * len(weights)
-    for b, members in enumerate(largest_differencing([[weights[i] for i in block] for block in blocks], bins)):
-        for block, k in members:
-            out[blocks[block][k]] = b
+    for b, members in enumerate(largest_differencing([[w] for w in weights], bins)):
+        for i, _ in members:
+            out[i] = b
     return out
 
 
