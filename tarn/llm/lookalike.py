@@ -88,8 +88,9 @@ def look_alike_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
     meet each other. Null and blank texts have no pairs; an empty table gives none.
     """
     rows = cut(form_classes(docs, key, text).where("form IS NOT NULL").select(F.col(f"`{key}`").alias("id"), "form", "exact"))
-    strings = rows.groupBy("form").agg(F.collect_set("exact").alias("all")).where(F.size("all") > 1)
-    strings = strings.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x < y")
+    several = rows.groupBy("form").agg(F.min("exact").alias("x"), F.max("exact").alias("y")).where("x <> y").select("form")
+    written = cut(rows.join(several, "form", "left_semi").select("form", "exact").distinct())
+    strings = written.toDF("form", "x").join(written.toDF("form", "y"), "form").where("x < y").select("x", "y")
     left, right = rows.select(F.col("exact").alias("x"), F.col("id").alias("p")), rows.select(F.col("exact").alias("y"), F.col("id").alias("q"))
     pairs = strings.join(left, "x").join(right, "y")
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
