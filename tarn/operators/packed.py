@@ -19,13 +19,12 @@ def best_cover(field: str, found: list[tuple[int, int, str]]) -> list[tuple[str,
     """
     n = len(field)
     ends: dict[int, list[tuple[int, str]]] = {}
-    edges = {s for s, _, _ in found} | {e for _, e, _ in found}
+    starts, stops = {s for s, _, _ in found}, {e for _, e, _ in found}
     for s, e, v in found:
-        starts_ok = s == 0 or not (field[s - 1].isalnum() and field[s].isalnum()) or any(x[1] == s for x in found)
-        ends_ok = e == n or not (field[e - 1].isalnum() and field[e].isalnum()) or any(x[0] == e for x in found)
-        if starts_ok and ends_ok:
+        before_ok = s == 0 or not (field[s - 1].isalnum() and field[s].isalnum()) or s in stops
+        after_ok = e == n or not (field[e - 1].isalnum() and field[e].isalnum()) or e in starts
+        if before_ok and after_ok:
             ends.setdefault(e, []).append((s, v))
-    del edges
     best: list[tuple[int, int]] = [(0, 0)] * (n + 1)
     back: list[tuple[int, str] | None] = [None] * (n + 1)
     for i in range(1, n + 1):
