@@ -79,10 +79,10 @@ def rank_hits(hits: DataFrame, cap: int, reserve: int = ADDRESS_RESERVE) -> Data
     """The ranking of candidates(): one shuffle by source 1 record carries both steps."""
     reserve = min(reserve, max(0, cap))
     base_cap = max(0, cap - reserve)
-    order = F.struct("prio", "src", "cand_id")
-    per = hits.groupBy("s1_id", "cand_id").agg(F.min(F.when(F.col("tag") != RESERVE_TAG, order)).alias("o"), F.max(F.col("tag") == RESERVE_TAG).alias("in_reserve"), F.first("src").alias("src"))
+    # one shuffle: partitioned by record first, the grouping and both windows find their rows in place
+    per = hits.repartition("s1_id").groupBy("s1_id", "cand_id", "src").agg(F.min(F.when(F.col("tag") != RESERVE_TAG, F.col("prio"))).alias("o"), F.max(F.col("tag") == RESERVE_TAG).alias("in_reserve"))
     w = Window.partitionBy("s1_id")
-    ranked = per.withColumn("r", F.when(F.col("o").isNotNull(), F.row_number().over(w.orderBy(F.col("o").asc_nulls_last()))))
+    ranked = per.withColumn("r", F.when(F.col("o").isNotNull(), F.row_number().over(w.orderBy(F.col("o").asc_nulls_last(), "src", "cand_id"))))
     ranked = ranked.withColumn("base", F.coalesce(F.col("r") <= base_cap, F.lit(False)))
     ranked = ranked.withColumn("n", F.sum(F.col("base").cast("int")).over(w))
     late = F.when(~F.col("base") & F.col("in_reserve"), F.struct("src", "cand_id"))
@@ -106,7 +106,7 @@ def candidates_tiered(s1: DataFrame, targets: DataFrame, cap: int, reserve: int
     wanted = key_table(s1)
     hits = block_hits(wanted, first_of_block(query_index(wanted, key_table(targets)), cap + reserve))
     tier = F.when(F.col("tag").isin("p", "s", "k"), 0).when(F.col("tag").isin("t", "f"), 1).when(F.col("tag") == "n", 2)
-    per = hits.withColumn("tier", tier).groupBy("s1_id", "cand_id").agg(F.min("tier").alias("tier"), F.max(F.col("tag") == RESERVE_TAG).alias("in_reserve"), F.first("src").alias("src"))
+    per = hits.withColumn("tier", tier).repartition("s1_id").groupBy("s1_id", "cand_id", "src").agg(F.min("tier").alias("tier"), F.max(F.col("tag") == RESERVE_TAG).alias("in_reserve"))
     w = Window.partitionBy("s1_id")
     r = per.withColumn("r", F.when(F.col("tier").isNotNull(), F.row_number().over(w.orderBy(F.col("tier").asc_nulls_last(), "cand_id"))))
     r = r.withColumn("base", F.coalesce(F.col("r") <= max(0, cap - reserve), F.lit(False))).withColumn("n", F.sum(F.col("base").cast("int")).over(w))

@@ -31,14 +31,14 @@ def tiered_match(s1: DataFrame, targets: DataFrame, most: int = MATCHES, enough:
     on = ["country_l", "tier", "value"]
     first = Window.partitionBy("src", *on).orderBy("entity_id")
     index = keyed(targets).withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= most + enough + most).drop("rn")
-    hits = keyed(s1).select(*on, F.col("entity_id").alias("s1_id")).join(index.withColumnRenamed("entity_id", "cand_id"), on)
-    per = hits.groupBy("s1_id", "cand_id").agg(F.min(F.struct("tier", "src", "cand_id")).alias("o"))
+    hits = keyed(s1).select(*on, F.col("entity_id").alias("s1_id")).join(index.select(*on, "src", F.col("entity_id").alias("cand_id")), on)
+    per = hits.repartition("s1_id").groupBy("s1_id", "cand_id", "src").agg(F.min("tier").alias("tier"))
     w = Window.partitionBy("s1_id")
-    n = lambda t: F.sum((F.col("o.tier") <= t).cast("int")).over(w)
+    n = lambda t: F.sum((F.col("tier") <= t).cast("int")).over(w)
     per = per.withColumn("n0", n(0)).withColumn("n1", n(1))
     # the third tier is asked where the first two gave fewer than enough, even when the second wasn't needed
-    asked = (F.col("o.tier") == 0) | (F.col("o.tier") == 1) & (F.col("n0") < enough) | (F.col("o.tier") == 2) & (F.col("n0") < enough) & (F.col("n1") < enough)
-    ranked = per.where(asked).withColumn("rank", F.row_number().over(w.orderBy("o")).cast("int"))
+    asked = (F.col("tier") == 0) | (F.col("tier") == 1) & (F.col("n0") < enough) | (F.col("tier") == 2) & (F.col("n0") < enough) & (F.col("n1") < enough)
+    ranked = per.where(asked).withColumn("rank", F.row_number().over(w.orderBy("tier", "src", "cand_id")).cast("int"))
     return ranked.where(F.col("rank") <= most).select("s1_id", "cand_id", "rank")
 
 

@@ -174,12 +174,12 @@ def entity_and_pair_recall(spark: SparkSession, d: str) -> DataFrame:
 
 def recall_at_caps(spark: SparkSession, d: str) -> DataFrame:
     s1 = E.source(spark, d, 1).select(F.col("entity_id").alias("s1_id"))
-    out = V.recall_at_caps(_hits(spark, d), E.truth(spark, d), s1, CAPS, B.rank_hits)
+    out = V.recall_at_caps(cut(_hits(spark, d)), E.truth(spark, d), s1, CAPS, B.rank_hits)
     return out.withColumns({c: F.round(c, 6) for c in ("recall", "mean_candidates")})
 
 
 def reserve_sweep(spark: SparkSession, d: str) -> DataFrame:
-    hits, true, out = _hits(spark, d), E.truth(spark, d), None
+    hits, true, out = cut(_hits(spark, d)), E.truth(spark, d), None
     for r in RESERVES:
         row = V.recall(B.rank_hits(hits, 100, r), true).select(F.lit(r).alias("reserve"), "entities_hit", "pairs_found")
         out = row if out is None else out.union(row)
