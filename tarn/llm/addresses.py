@@ -34,7 +34,7 @@ def plain(text: str | None) -> str:
     t = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     t = re.sub(r"(?<=[A-Za-z])0(?=[A-Za-z])", "o", t)
     t = re.sub(r"(?<=[A-Za-z])1(?=[A-Za-z])", "l", t)
-    t = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])|(?<=[A-Za-z]{3})(?=\d)", " ", t)
+    t = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])|(?<=[A-Za-z]{3})(?=\d)|(?<=\d)(?=[A-Z][a-z]{2})", " ", t)
     return re.sub(r"\s+", " ", t).strip().lower()
 
 
@@ -162,7 +162,7 @@ _FORM = ["number", "direction", "street", "kind", "town", "state", "postcode"]
 
 def same_street(a: str, b: str) -> bool:
     """Street or town names at most two typing errors apart, one when short."""
-    limit = 2 if min(len(a), len(b)) >= 6 else 1 if min(len(a), len(b)) >= 3 else 0
+    limit = 2 if min(len(a), len(b)) >= 5 else 1 if min(len(a), len(b)) >= 3 else 0
     return a == b or near(a, b, limit) <= limit
 
 
@@ -215,9 +215,10 @@ def parse_table(rows: DataFrame, address: str) -> DataFrame:
 def address_groups(rows: DataFrame, address: str) -> DataFrame:
     """(address, form, group_id) for each distinct usable text of rows[address]: texts of one building share group_id.
 
-    Hierarchical keys: forms meet that share house number and direction and either the postcode, or the town, or the street
-    with the beginning or the end of the town; same_building() decides, connected components gather. A form with neither
-    postcode nor town joins a building only where one alone fits its number, direction, street, kind and state.
+    Hierarchical keys: forms meet that share house number and direction and either the postcode, or the town or an end of it
+    (five letters), or the street with three letters of an end of the town; same_building() decides, connected components
+    gather. A form with neither postcode nor town joins a building only where one alone fits its number, direction, street,
+    kind and state.
     """
     parsed = cut(parse_table(rows, address))
     forms = parsed.select(*_FORM, "form").distinct()
@@ -226,10 +227,10 @@ def address_groups(rows: DataFrame, address: str) -> DataFrame:
     keys = F.array(
         F.when(F.col("postcode") != "", key(F.lit("p"), F.col("postcode"))), F.when(F.col("town") != "", key(F.lit("t"), F.col("town"))),
         F.when(F.col("town") != "", key(F.lit("a"), F.col("street"), F.substring("town", 1, 3))), F.when(F.col("town") != "", key(F.lit("z"), F.col("street"), F.substring("town", -3, 3))),
+        F.when(F.col("town") != "", key(F.lit("b"), F.substring("town", 1, 5))), F.when(F.col("town") != "", key(F.lit("e"), F.substring("town", -5, 5))),
     )
-    keyed = cut(forms.select(F.explode(keys).alias("key"), F.col("form").alias("r")).where("key IS NOT NULL"))
-    spread = dealt(keyed, BLOCK).repartition(max(12, rows.sparkSession.sparkContext.defaultParallelism * 2))
-    links = spread.mapInPandas(_compare, "a string, b string").distinct()
+    keyed = forms.select(F.explode(keys).alias("key"), F.col("form").alias("r")).where("key IS NOT NULL")
+    links = dealt(keyed, BLOCK).mapInPandas(_compare, "a string, b string").distinct()
     groups = connected_components(links, "a", "b", forms, "form").withColumnRenamed("entity_id", "form")
     placed = cut(forms.join(groups, "form"))
     alone = placed.where("postcode = '' AND town = ''")
