@@ -49,6 +49,7 @@ def parse_address(text: str | None) -> dict | None:
     out = dict.fromkeys(("number", "direction", "street", "kind", "town", "state", "postcode"), "")
     t = _landmark.sub(" , ", t)
     t = _unit.sub(" , ", t)
+    t = re.sub(r"\b(\d+)(?:st|nd|rd|th)\b", lambda m: "nth" + "".join(chr(97 + int(c)) for c in m[1]), t)  # a street's name, no house number
     for m in reversed(list(_postcode.finditer(t))):
         out["postcode"] = m[1] or m[2] + m[3]
         t = f"{t[: m.start()]} | {t[m.end() :]}"
