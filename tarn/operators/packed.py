@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_PREFIXES = 4096
+#: Leading characters by which long dictionary values are looked up; shorter ones by all of theirs.
+ANCHOR = 32
 
 
 def best_cover(field: str, found: list[tuple[int, int, str]]) -> list[tuple[str, bool]]:
@@ -77,32 +79,27 @@ def segment_fields(df: DataFrame, field: str, dictionary: DataFrame, value: str)
     """(field, pieces array<struct<value, known>>) for each distinct non-null text of df[field].
 
     Dictionary-guided segmentation. The dictionary grows with the data, so it is never sent whole to a task: each field's
-    windows of the length of the shortest dictionary value meet the dictionary in a hash join on that many leading
-    characters, which brings to each field only the known values that occur in it. Where the dictionary has at most
+    windows, under a hash of the field, meet the dictionary in a join on whole values (of long ones on their first ANCHOR
+    characters), which brings to each field the known values that can occur in it. Where the dictionary has at most
     MAX_PREFIXES different three-letter beginnings (counted first), windows that begin otherwise are not sent. Then one
     multi-pattern automaton per Arrow batch finds all occurrences, and best_cover() picks the cover.
     """
-    spark = df.sparkSession
-    fields = df.select(F.col(f"`{field}`").cast("string").alias("field")).where("field IS NOT NULL").distinct()
+    fields = df.select(F.col(f"`{field}`").cast("string").alias("field")).where("field IS NOT NULL").distinct().withColumn("fid", F.xxhash64("field"))
     known = dictionary.select(F.col(f"`{value}`").cast("string").alias("known")).where("known <> ''").distinct()
-    shape = known.agg(F.min(F.length("known")).alias("short")).first()
-    if shape is None or shape["short"] is None:
-        empty = spark.createDataFrame([], "field string, hits array<string>")
-        return fields.join(empty, "field", "left").mapInPandas(_segment, "field string, pieces array<struct<value:string,known:boolean>>")
-    short = int(shape["short"])
-    head = min(3, short)
+    known = known.withColumn("size", F.least(F.length("known"), F.lit(ANCHOR))).withColumn("anchor", F.substring("known", F.lit(1), F.col("size")))
+    sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # at most ANCHOR numbers
+    if not sizes:
+        return fields.withColumn("hits", F.lit(None).cast("array<string>")).mapInPandas(_segment, "field string, pieces array<struct<value:string,known:boolean>>")
+    head = min(3, sizes[0])
     heads = [r[0] for r in known.select(F.substring("known", 1, head)).distinct().limit(MAX_PREFIXES + 1).collect()]
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("field") - (short - 1))))
-    windows = fields.where(F.length("field") >= short).withColumn("at", at)
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("field") - (sizes[0] - 1))))
+    windows = fields.where(F.length("field") >= sizes[0]).withColumn("at", at)
     if len(heads) <= MAX_PREFIXES:
         windows = windows.where(F.substring("field", F.col("at"), F.lit(head)).isin(heads))
-    windows = windows.select("field", F.substring("field", F.col("at"), F.lit(short)).alias("anchor"))
-    hits = (
-        windows.join(known.withColumn("anchor", F.substring("known", 1, short)), "anchor")
-        .where(F.col("field").contains(F.col("known")))
-        .groupBy("field").agg(F.collect_set("known").alias("hits"))
-    )
-    return fields.join(hits, "field", "left").mapInPandas(_segment, "field string, pieces array<struct<value:string,known:boolean>>")
+    windows = windows.withColumn("size", F.explode(F.array(*[F.lit(n) for n in sizes]))).where(F.col("at") + F.col("size") - 1 <= F.length("field"))
+    windows = windows.select("fid", F.substring("field", F.col("at"), F.col("size")).alias("anchor")).distinct()
+    hits = windows.join(known.select("known", "anchor"), "anchor").groupBy("fid").agg(F.collect_set("known").alias("hits"))
+    return fields.join(hits, "fid", "left").mapInPandas(_segment, "field string, pieces array<struct<value:string,known:boolean>>")
 
 
 def split_packed(df: DataFrame, key: str, field: str, dictionary: DataFrame, value: str, known_only: bool = True) -> DataFrame:
