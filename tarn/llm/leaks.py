@@ -23,6 +23,8 @@ RANK, OVERSAMPLE, POWER = 96, 16, 1
 FIT_PASSAGES = 100_000
 #: Least cosine of a candidate; the README has its measured recall.
 COSINE = 0.80
+#: Words of dense parts that one search task takes.
+WORDS_PER_TASK = 8_000_000
 #: Items are a stated query set; more than this many are searched in blocks.
 ITEM_BLOCK = 5_000
 
@@ -264,6 +266,9 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     cells = rows.agg(F.sum(F.size("ids")).alias("n")).first()["n"]
     if not cells:
         return spark.createDataFrame([], schema)
+    parts = -(-cells // WORDS_PER_TASK)
+    if parts > rows.rdd.getNumPartitions():  # the table is small in bytes for what its search costs
+        rows = rows.repartition(parts)
     share = min(1.0, FIT_PASSAGES * STEP / cells)
     sample = rows.where(F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000) + 1).repartition(min(12, max(1, spark.sparkContext.defaultParallelism)))
     latent = (fit_latent(cut(sample), weight) * weight[:, None]).astype(np.float32)
