@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarn.functions import text as T
 from tarn.functions import words as W
 from tarn.operators import blocking as B
+from tarn.operators.diagnostics import DIAGNOSTIC_KEYS, diagnostic_recall as _diagnostic_recall
 from tarn.operators import entities as E
 from tarn.operators import evaluate as V
 from tarn.operators import features as X
@@ -247,6 +248,11 @@ def pair_inspection(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("s1_id", "cand_id", "norm_name_1", "norm_name_2", "norm_addr_1", "norm_addr_2", shared.alias("shared_keys"))
 
 
+def diagnostic_recall(spark: SparkSession, d: str) -> DataFrame:
+    out = _diagnostic_recall(E.truth(spark, d), E.source(spark, d, 1), E.targets(spark, d))
+    return out.withColumn("recall", F.round("recall", 6))
+
+
 def missed_pairs(spark: SparkSession, d: str) -> DataFrame:
     return V.missed(_candidates(spark, d, 100), E.truth(spark, d))
 
@@ -267,7 +273,7 @@ QUERIES = {
         candidates_v1, candidates_tiered_v2, candidate_lists, token_features, edit_features, feature_vectors_11, feature_vectors_13, feature_vectors_26, tiered_match,
         linear_score_topk, match_lists, bound_pruned_match, ground_truth_long, block_recall, entity_and_pair_recall, recall_at_caps, reserve_sweep, candidate_stats,
         threshold_sweep, best_threshold, entity_f05, macro_f05, quality_report, output_row_counts, exact_sample, truth_preserving_sample, stratified_split, pair_inspection,
-        missed_pairs, train_and_score,
+        diagnostic_recall, missed_pairs, train_and_score,
     )
 }
 
@@ -484,5 +490,15 @@ SELECT entity_id FROM kept UNION ALL SELECT entity_id FROM (SELECT entity_id, ro
     "pair_inspection": f"""WITH {_LONG}, {_TRUTH} SELECT s1_id, cand_id, a.norm_name AS norm_name_1, b.norm_name AS norm_name_2, a.norm_addr AS norm_addr_1, b.norm_addr AS norm_addr_2,
   concat_ws(',', {', '.join(f"CASE WHEN a.{k.column} <> '' AND a.{k.column} = b.{k.column} THEN '{k.column}' END" for k in B.KEYS)}) AS shared_keys
 FROM truth JOIN keyed a ON a.entity_id = s1_id JOIN keyed b ON b.entity_id = cand_id""",
+    "diagnostic_recall": f"""WITH {_ONE}, {_TRUTH},
+dn AS (SELECT entity_id, trim(regexp_replace(lower(coalesce(business_name, '')), '\\s+', ' ', 'g')) AS n, trim(regexp_replace(lower(coalesce(business_address, '')), '\\s+', ' ', 'g')) AS a,
+  coalesce(regexp_extract_all(business_address, '\\b(\\d{{4,6}})\\b', 1)[-1], '') AS postal FROM one),
+dk AS (SELECT *, substring(postal, 1, 3) AS postal3, regexp_extract(a, '^\\s*(\\d+[A-Za-z]?(?:/\\d+)?)', 1) AS street_num, coalesce(({_tokens('n')})[1], '') AS first_token, substring(n, 1, 3) AS first3, substring(n, 1, 4) AS first4,
+  array_to_string(list_sort({_tokens('n')}), ' ') AS sorted_tokens, array_to_string(list_sort(list_filter({_tokens('n')}, lambda x: NOT list_contains({_list(W.LEGAL)}, x))), ' ') AS core_tokens,
+  array_to_string(list_sort(list_distinct({_tokens('a')})), ' ') AS addr_sorted_tokens FROM dn),
+dp AS (SELECT *, CASE WHEN postal <> '' AND street_num <> '' THEN postal || '|' || street_num ELSE '' END AS postal_house FROM dk),
+dh AS (SELECT s1_id, cand_id, list_filter([{', '.join(f"CASE WHEN x.{c} <> '' AND x.{c} = y.{c} THEN '{t}' END" for t, c in DIAGNOSTIC_KEYS.items())}], lambda z: z IS NOT NULL) AS tags FROM truth JOIN dp x ON x.entity_id = s1_id JOIN dp y ON y.entity_id = cand_id)
+SELECT t.tag, count(*) FILTER (list_contains(tags, t.tag) OR t.tag = 'union' AND len(tags) > 0) AS pairs_found, count(*) AS n_pairs, round(count(*) FILTER (list_contains(tags, t.tag) OR t.tag = 'union' AND len(tags) > 0) / count(*), 6) AS recall
+FROM dh, (SELECT unnest({_list([*DIAGNOSTIC_KEYS, 'union'])}) AS tag) t GROUP BY 1""",
     "missed_pairs": f"WITH {_HITS}, {_ranked(100)} SELECT s1_id, cand_id FROM truth ANTI JOIN c USING (s1_id, cand_id) ORDER BY 1, 2 LIMIT 20",
 }
