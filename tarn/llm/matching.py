@@ -103,7 +103,7 @@ def match_entities(
         pairs = cut(pairs.select("l_id", "r_id").distinct().withColumn("rule", F.lit(rule.name)))
         found = pairs if found is None else found.unionByName(pairs)
         if n + 1 < len(rules):
-            rest = rest.join(pairs.select(F.col("r_id").alias("id")).distinct(), "id", "left_anti")
+            rest = rights.join(found.select(F.col("r_id").alias("id")).distinct(), "id", "left_anti")
     if labels is None:
         return found.withColumn("confidence", F.lit(PRIOR_SHARE))
     labels = labels.select("l_id", "r_id").distinct()
