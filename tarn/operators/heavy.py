@@ -36,8 +36,8 @@ def per_key(df: DataFrame, fields: list[str], partials: dict[str, Column] | None
 def heavy_keys(df: DataFrame, fields: list[str], share: float = 0.02) -> DataFrame:
     """(field_name, key_value, row_count, total_rows): the keys that hold at least `share` of all rows of df.
 
-    total_rows counts every row, also those without a key; it is a second, single-row aggregate joined as a scalar.
+    A key at exactly the share counts (the share is read with a tolerance of 1e-12). total_rows counts every row, also those without a key; it is a second, single-row aggregate joined as a scalar.
     """
     counts = per_key(df, fields)
     total = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    return counts.join(F.broadcast(total), how="cross").where(F.col("row_count") >= F.lit(share) * F.col("total_rows"))
+    return counts.join(F.broadcast(total), how="cross").where(F.col("row_count") >= F.lit(share - 1e-12) * F.col("total_rows"))
