@@ -258,14 +258,14 @@ def missed_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def train_and_score(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of every source 1 record, labelled or not; the model and its threshold come from the candidates of labelled ones."""
     true = E.truth(spark, d).withColumn("label", F.lit(1))
-    chosen = _candidates(spark, d, 20).withColumnRenamed("rank", "cand_rank").join(E.labelled(spark, d), "s1_id", "left_semi")  # before the kernels
-    attached = X.attach(chosen, E.source(spark, d, 1), E.targets(spark, d)).join(true, ["s1_id", "cand_id"], "left").na.fill(0, ["label"])
-    pairs = X.with_features(attached, X.E11)
-    split = cut(P.stratified_split(pairs.select("s1_id", "cand_id", "cand_rank", "label", *X.E11), "label", ["s1_id", "cand_id"]))
+    pairs = cut(_candidate_features(spark, d, X.E11).select("s1_id", "cand_id", "cand_rank", *X.E11))
+    known = pairs.join(E.labelled(spark, d), "s1_id", "left_semi").join(true, ["s1_id", "cand_id"], "left").na.fill(0, ["label"])
+    split = cut(P.stratified_split(known, "label", ["s1_id", "cand_id"]))
     model = L.train(split.where(~F.col("is_validation")), X.E11)
     held = L.score(model, split.where("is_validation"), X.E11)
-    return M.top_matches(L.score(model, split, X.E11), L.tune(held))
+    return M.top_matches(L.score(model, pairs, X.E11), L.tune(held))
 
 
 QUERIES = {

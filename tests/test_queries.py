@@ -99,6 +99,18 @@ def test_train_and_score(spark):
     assert rows and max(per.values()) <= 5
 
 
+def test_train_and_score_covers_unlabelled_records(spark):
+    from tarn.operators import entities as E
+
+    d = "/root/testdata/sf0.01"
+    known = {r[0] for r in E.labelled(spark, d).collect()}
+    cands = {(r["s1_id"], r["cand_id"]) for r in resolution.candidates_cap20(spark, d).collect()}
+    pairs = {(r["s1_id"], r["cand_id"]) for r in resolution.train_and_score(spark, d).collect()}
+    assert pairs <= cands
+    matched = {s for s, _ in pairs}
+    assert matched & known and matched - known
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
