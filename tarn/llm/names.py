@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,12 @@ EDITS = 3
 AS_WRITTEN = "="
 #: Longer names (in words besides trade, legal form, town) are read in one way only: first half and second half.
 MOST_WORDS = 6
-#: Most strings that one task's trie holds; larger shards are split, every block meeting every other.
+#: Most strings of a shard; larger shards are split, every block meeting every other.
 BLOCK = 4096
+#: Letters of the ends that are dealt to shards; strings of fewer than twice as many and one have shorter ends.
+LONGEST_END = 6
+#: Pairs that are measured together.
+PAIRS = 500_000
 
 _PHRASES = {tuple(x.split()): k for k, v in N.TRADE.items() for x in [k, *v.split("|")] if x}
 _LEGAL = {x: k for k, v in N.LEGAL.items() for x in [k, *v.split()]}
@@ -171,19 +176,34 @@ def readings(words: list[str], towns: list[bool]) -> tuple[list[str], str, str]:
     return [" ".join(sorted(r)).strip() for r in sorted(out)], trade, given
 
 
-def shard_keys(reading: str) -> list[str]:
-    """Keys of the shards a reading goes to. Readings at most two edits apart have one in common.
+def shard_keys(reading: str) -> list[tuple[str, str]]:
+    """(key, member) for the shards a reading goes to. Readings at most three edits apart, in either order of the names, share a key.
 
-    With both names hit once, one end of each is whole: a pair of three-letter ends; with one name hit twice the other is
-    whole. Readings three edits apart mostly share one too.
+    A member is the reading in one order, "<" or ">" before it. Of three edits in the joined string one end of k letters has at
+    most one, so both sides' ends are equal without one letter; k leaves a letter between the ends, since a swap across a border
+    would count for both. k follows from the shorter string: a string gives the keys for its own length ("<") and for those up
+    to EDITS shorter (">"), so a pair needs one "<". Strings too short for ends of three letters meet in one shard.
     """
     if reading.startswith(AS_WRITTEN):
         return []
     a, _, b = reading.partition(" ")
-    if not b:
-        return ["=" + a]
-    ends = lambda w: {w[:3] + "-", "-" + w[-3:]}
-    return sorted({"+".join(sorted((x, y))) for x in ends(a) for y in ends(b)} | {"=" + a, "=" + b})
+    out: set[tuple[str, str]] = set()
+    for text in {reading, f"{b} {a}" if b else reading}:
+        s = text.replace(" ", "")
+        own = _end(len(s))
+        for k in {_end(n) for n in range(max(len(s) - EDITS, 0), len(s) + 1)}:
+            member = ("<" if k == own else ">") + text
+            if k == 0:
+                out.add(("", member))
+            for i in range(k):
+                out |= {(f"{k}<{s[:i]}{s[i + 1 : k]}", member), (f"{k}>{s[-k:][:i]}{s[-k:][i + 1 :]}", member)}
+    return sorted(out)
+
+
+def _end(length: int) -> int:
+    """Letters of an end where the shorter of two strings has `length`; 0 for no ends."""
+    k = min((length - 1) // 2, LONGEST_END)
+    return k if k >= 3 else 0
 
 
 class Trie:
@@ -239,39 +259,105 @@ def _plausible(x: str, y: str, edits: int) -> bool:
     return min(max(near(a, c, 2), near(b, d, 2)), max(near(a, d, 2), near(b, c, 2))) <= 2
 
 
-def _search(members: list[str], queries: list[str] | None, edits: int):
-    """(x, y, edits): pairs of readings within a shard; both orders of the names are in the trie."""
-    trie = Trie()
-
-    def enter(r: str) -> None:
-        a, _, b = r.partition(" ")
-        trie.add(a + b, r)
-        if b:
-            trie.add(b + a, r)
-
-    if queries is None:
-        for r in members:
-            for y, d in trie.within(r.replace(" ", ""), edits).items():
-                if _plausible(r, y, d):
-                    yield (min(r, y), max(r, y), d)
-            enter(r)
-    else:
-        for r in members:
-            enter(r)
-        for r in queries:
-            for y, d in trie.within(r.replace(" ", ""), edits).items():
-                if y != r and _plausible(r, y, d):
-                    yield (min(r, y), max(r, y), d)
+class _Strings:
+    """Distinct members of an Arrow batch as arrays: letters, lengths, and which letters they have once and twice."""
+
+    def __init__(self, members: list[str]) -> None:
+        text = [m[1:] for m in members]
+        names = [t.partition(" ")[::2] for t in text]
+        self.joined = [t.replace(" ", "") for t in text]
+        self.reading = [" ".join(sorted(n)).strip() for n in names]
+        self.group = pd.factorize(np.array(self.reading, dtype=object))[0]
+        self.turned = np.array([bool(n[1]) and n[0] > n[1] for n in names])
+        self.late = np.array([m[0] == ">" for m in members])
+        self.size = np.array([len(j) for j in self.joined])
+        self.letters = np.array([j[:64] for j in self.joined], dtype="U64").view(np.uint32).reshape(len(text), 64)[:, : max(1, min(64, self.size.max()))]
+        once, twice = np.zeros(len(text), np.uint64), np.zeros(len(text), np.uint64)
+        for c in self.letters.T:
+            bit = np.where(c > 0, np.uint64(1) << (c % 32).astype(np.uint64), np.uint64(0))
+            twice |= once & bit
+            once |= bit
+        self.has = once | twice << np.uint64(32)
+        self.long = self.size > 64
+
+    def alike(self, i: np.ndarray, j: np.ndarray, edits: int) -> np.ndarray:
+        """Whether a pair can be at most `edits` apart: an edit takes one letter away and adds one."""
+        x, y = self.has[i], self.has[j]
+        can = (np.bitwise_count(x & ~y) <= edits) & (np.bitwise_count(y & ~x) <= edits) | self.long[i] | self.long[j]
+        return can & ~(self.turned[i] & self.turned[j]) & ~(self.late[i] & self.late[j]) & (self.group[i] != self.group[j])
+
+    def edits(self, i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
+        """Edits with swaps of neighbours as one (bit-parallel over all pairs), beyond `limit` any larger number."""
+        out = np.full(len(i), limit + 1)
+        for at in np.flatnonzero(self.long[i] | self.long[j]):
+            out[at] = near(self.joined[i[at]], self.joined[j[at]], limit)
+        rest = np.flatnonzero(~(self.long[i] | self.long[j]) & (np.abs(self.size[i] - self.size[j]) <= limit))
+        for at in np.array_split(rest, len(rest) // PAIRS + 1):
+            out[at] = self._edits(i[at], j[at])
+        return out
+
+    def _edits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        one, none = np.uint64(1), np.zeros(len(i), np.uint64)
+        pattern, text, n = self.letters[i], self.letters[j], self.size[i]
+        last = one << (n - 1).astype(np.uint64)
+        up, down, diagonal, before, score = ~none, none, none, none, n.copy()
+        for t in range(int(self.size[j].max(initial=0))):
+            c, m = text[:, t], none.copy()
+            for k in range(int(n.max())):
+                m |= (pattern[:, k] == c).astype(np.uint64) << np.uint64(k)
+            swap = (~diagonal & m) << one & before
+            diagonal = (((m & up) + up) ^ up) | m | down | swap
+            more, less = down | ~(diagonal | up), diagonal & up
+            score += np.where(t < self.size[j], ((more & last) != 0).astype(int) - ((less & last) != 0), 0)
+            more, less = more << one | one, less << one
+            up, down, before = less | ~(diagonal | more), more & diagonal, m
+        return score
+
+
+def _pairs(shards: list[np.ndarray], asked: list[np.ndarray | None], s: _Strings, edits: int):
+    """(i, j): members of one shard that can be near each other; i of the queries where there are any."""
+    whole = [x for x, q in zip(shards, asked) if q is None]
+    if whole:
+        flat, shard = np.concatenate(whole), np.repeat(np.arange(len(whole)), [len(x) for x in whole])
+        flat = flat[np.lexsort((s.late[flat], shard))]  # "<" first: what follows a ">" is ">" too
+        end = np.cumsum([len(x) for x in whole])[shard]
+        at, step = np.flatnonzero(~s.late[flat]), 1
+        while len(at := at[at + step < end[at]]):
+            i, j = flat[at], flat[at + step]
+            can = s.alike(i, j, edits)
+            yield i[can], j[can]
+            step += 1
+    for x, q in zip(shards, asked):
+        for i in [] if q is None else q:
+            j = x[s.alike(np.full(len(x), i), x, edits)]
+            yield np.full(len(j), i), j
 
 
 def _join(batches, edits: int):
     for pdf in batches:
+        shards, asked = [np.asarray(x, dtype=object) for x in pdf["members"]], [None if x is None else np.asarray(x, dtype=object) for x in pdf["queries"]]
+        parts = shards + [q for q in asked if q is not None]
+        if not parts:
+            continue
+        codes, members = pd.factorize(np.concatenate(parts))
+        s = _Strings(list(members))
+        codes = iter(np.split(codes, np.cumsum([len(x) for x in parts])[:-1]))
+        shards = [next(codes) for _ in shards]
+        asked = [None if q is None else next(codes) for q in asked]
+        kept, n = [np.empty(0, np.int64)], 0
+        for i, j in _pairs(shards, asked, s, edits):
+            kept.append(np.minimum(i, j).astype(np.int64) * len(members) + np.maximum(i, j))
+            n += len(i)
+            if n > 8 * PAIRS:
+                kept, n = [np.unique(np.concatenate(kept))], 0
+        i, j = np.divmod(np.unique(np.concatenate(kept)), len(members))
+        d = s.edits(i, j, edits)
         found: dict[tuple[str, str], int] = {}
-        for members, queries in zip(pdf["members"], pdf["queries"]):
-            for x, y, d in _search(list(members), None if queries is None else list(queries), edits):
-                if found.get((x, y), edits + 1) > d:
-                    found[x, y] = d
-        yield pd.DataFrame([(x, y, d) for (x, y), d in found.items()], columns=["x", "y", "edits"])
+        for a, b, e in zip(*(x[d <= edits].tolist() for x in (i, j, d))):
+            x, y = sorted((s.reading[a], s.reading[b]))
+            if found.get((x, y), edits + 1) > e and _plausible(x, y, e):
+                found[x, y] = e
+        yield pd.DataFrame([(x, y, e) for (x, y), e in found.items()], columns=["x", "y", "edits"])
 
 
 def dealt(keyed: DataFrame, block: int) -> DataFrame:
@@ -296,14 +382,15 @@ def dealt(keyed: DataFrame, block: int) -> DataFrame:
 
 
 def trie_join(distinct: DataFrame, column: str, edits: int = EDITS, block: int = BLOCK) -> DataFrame:
-    """(x, y, edits), x < y: readings at most `edits` apart in either order of the two names.
+    """(x, y, edits), x < y: all readings at most `edits` (up to EDITS) apart, as joined strings in either order of the two names.
 
-    Complete up to two edits (see shard_keys), three are found where a shard is shared. Strings are dealt to shards by keys,
-    a shard is one row of strings for one trie; a shard of more than `block` strings becomes blocks, each held by one trie
-    and asked by all strings of the shard.
+    Three edits that lie in one of two names are left out (_plausible). Strings are dealt to shards by keys (shard_keys), a shard
+    is one row of strings; a shard of more than `block` strings becomes blocks that all meet each other.
     """
+    if edits > EDITS:
+        raise ValueError(f"shard_keys covers {EDITS} edits")
     keyed = distinct.select(F.col(f"`{column}`").alias("r")).where("r <> ''").mapInPandas(
-        lambda it: (pd.DataFrame([(k, r) for r in p["r"] for k in shard_keys(r)], columns=["key", "r"]) for p in it), "key string, r string"
+        lambda it: (pd.DataFrame([x for r in p["r"] for x in shard_keys(r)], columns=["key", "r"]) for p in it), "key string, r string"
     )
     return dealt(keyed, block).mapInPandas(lambda it: _join(it, edits), "x string, y string, edits int").groupBy("x", "y").agg(F.min("edits").alias("edits"))
 
@@ -368,6 +455,9 @@ def name_groups(rows: DataFrame, name: str, edits: int = EDITS, parsed: DataFram
     pairs = links.join(side("x", "x"), "x").join(side("y", "y"), "y").where(
         (F.col("edits") <= 1) | ~_given_clash(F.col("given_x"), F.col("given_y"))
     ).withColumn("both", F.array_union("trades_x", "trades_y"))
+    # one name alone: two edits as in _plausible, one under six letters
+    letters = F.least(*[F.length(F.replace(c, F.lit(" "), F.lit(""))) for c in ("x", "y")])
+    pairs = pairs.where(F.col("x").contains(" ") & F.col("y").contains(" ") | (F.col("edits") <= F.when(letters < 6, 1).otherwise(2)))
     # three edits need as much to say that it is the same: one trade that both have
     pairs = pairs.where((F.col("edits") <= 2) | (F.size(F.array_intersect("trades_x", "trades_y")) > 0))
     same = pairs.select(F.explode(F.array_intersect("trades_x", "trades_y")).alias("t"), "x", "y").select(vertex("x", F.col("t")).alias("a"), vertex("y", F.col("t")).alias("b"))

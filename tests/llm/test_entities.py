@@ -56,6 +56,41 @@ def test_trie_join_is_complete_up_to_two_edits(spark, block):
                 assert got[x, y] == best
 
 
+@pytest.mark.parametrize("block", [20, 4096])
+def test_trie_join_is_complete_at_all_edits_for_short_and_single_names(spark, block):
+    r = random.Random(4)
+    letters = "abdeikmnorst"
+    word = lambda lo, hi: "".join(r.choice(letters) for _ in range(r.randint(lo, hi)))
+    rows = {"khan smith", "kahn smth", "gerkeper", "gerkepr", "paetls", "patels", "ab" * 40, "ba" + "ab" * 39}
+    for lo, hi in ((3, 5), (4, 7), (6, 9)):
+        for n in range(60):
+            base = [word(lo, hi)] if n % 3 == 0 else [word(lo, hi), word(lo, hi)]
+            rows.add(" ".join(sorted(base)))
+            for _ in range(3):
+                x = list(base)
+                for _ in range(3):
+                    w = r.randrange(len(x))
+                    i = r.randrange(len(x[w]))
+                    x[w] = r.choice([x[w][:i] + r.choice(["", r.choice(letters), x[w][i] + r.choice(letters)]) + x[w][i + 1 :], x[w][:i] + x[w][i : i + 2][::-1] + x[w][i + 2 :]]) or "a"
+                rows.add(" ".join(sorted(x)))
+    rows = sorted(rows)
+    orders = {x: [x.replace(" ", ""), "".join(x.split(" ")[::-1])] for x in rows}
+    want = {}
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            d = min(N.near(orders[x][a], orders[y][b], N.EDITS) for a, b in ((0, 0), (0, 1), (1, 0)))
+            if d <= N.EDITS and N._plausible(x, y, d):
+                want[x, y] = d
+    got = {(x["x"], x["y"]): x["edits"] for x in N.trie_join(spark.createDataFrame([(x,) for x in rows], "r string"), "r", block=block).collect()}
+    assert got == want
+
+
+def test_a_single_name_may_have_a_typo(spark):
+    rows = [("a0", "Gerkeper Bakery"), ("a1", "Gerkepr Bakery"), ("b0", "Smith Khan Plumbing"), ("b1", "Smth Kahn Plumbing"), ("c0", "Dovim Bakery"), ("c1", "Tavum Bakery")]
+    got = {tuple(r) for r in N.same_organisation(spark.createDataFrame(rows, "id string, name string"), "id", "name").collect()}
+    assert got == {("a0", "a1"), ("b0", "b1")}
+
+
 SAME = [
     "Henry Nutathen Gerkeper Dental Associates", "NUTATHEN GERKEPER, HANK - DENTAL ASSOCS", "Gerkeper Nutathen, H. (Dental Assoc.)", "Nutathen-Gerkeper", "Nut athen Gerkeper Dental Associates",
     "NutathenGerkeper Dental Associates Ltd", "Henry Nutahten Gerkepr Dental Associates", "Dental Associates Nutathen  Gerkeper of Ordale", "henry nutathen gerkeper dental associates, L.L.C.",
