@@ -45,9 +45,9 @@ def _true_attached(spark: SparkSession, d: str) -> DataFrame:
     return X.attach(E.truth(spark, d), E.source(spark, d, 1), E.targets(spark, d))
 
 
-def _candidate_features(spark: SparkSession, d: str, names: list[str], cap: int = 20) -> DataFrame:
+def _candidate_features(spark: SparkSession, d: str, names: list[str], cap: int = 20, guarded: bool = True) -> DataFrame:
     pairs = _candidates(spark, d, cap).withColumnRenamed("rank", "cand_rank")
-    return X.with_features(X.attach(pairs, E.source(spark, d, 1), E.targets(spark, d)), names)
+    return X.with_features(X.attach(pairs, E.source(spark, d, 1), E.targets(spark, d)), names, guarded)
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -131,15 +131,15 @@ def edit_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature_vectors_26(spark: SparkSession, d: str) -> DataFrame:
-    return X.with_features(_true_attached(spark, d), X.E26).select("s1_id", "cand_id", *X.E26)
+    return _candidate_features(spark, d, X.E26).select("s1_id", "cand_id", *X.E26)
 
 
 def feature_vectors_11(spark: SparkSession, d: str) -> DataFrame:
-    return X.with_features(_true_attached(spark, d), X.E11, guarded=False).select("s1_id", "cand_id", *X.E11)
+    return _candidate_features(spark, d, X.E11, guarded=False).select("s1_id", "cand_id", *X.E11)
 
 
 def feature_vectors_13(spark: SparkSession, d: str) -> DataFrame:
-    return X.with_features(_true_attached(spark, d), X.E13, guarded=False).select("s1_id", "cand_id", *X.E13)
+    return _candidate_features(spark, d, X.E13, guarded=False).select("s1_id", "cand_id", *X.E13)
 
 
 def tiered_match(spark: SparkSession, d: str) -> DataFrame:

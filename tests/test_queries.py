@@ -42,6 +42,12 @@ def test_features_are_bounded(spark, sf, name):
                 assert 0.0 <= v <= 1.0, (k, v)
 
 
+@pytest.mark.parametrize("name", ["feature_vectors_11", "feature_vectors_13", "feature_vectors_26"])
+def test_features_of_every_candidate(spark, sf, name):
+    want = sorted((r["s1_id"], r["cand_id"]) for r in resolution.candidates_cap20(spark, sf).collect())
+    assert sorted((r["s1_id"], r["cand_id"]) for r in QUERIES[name](spark, sf).select("s1_id", "cand_id").collect()) == want
+
+
 def test_pruning_equals_full_scoring(spark, sf):
     from pyspark.sql import functions as F
 
