@@ -11,15 +11,15 @@ from pyspark.sql import SparkSession
 
 from tarn.storage import shared_dir
 
-_shipped: set[int] = set()
+_shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once a session, unless PYTHONPATH, which workers inherit, already holds it."""
     sc = spark.sparkContext
-    if id(sc) in _shipped:
+    if sc.applicationId in _shipped:
         return
-    _shipped.add(id(sc))
+    _shipped.add(sc.applicationId)
     root = Path(__file__).resolve().parents[1]
     if str(root) in [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]:
         return

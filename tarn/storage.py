@@ -10,7 +10,7 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 
 _written: "weakref.WeakKeyDictionary[SparkSession, list[str]]" = weakref.WeakKeyDictionary()
-_own: dict[int, str] = {}
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    key = id(spark.sparkContext)
+    key = spark.sparkContext.applicationId
     if key not in _own:
         _own[key] = "file://" + tempfile.mkdtemp(prefix="tarn-")
     return _own[key]
@@ -52,6 +52,16 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut(df), and its rows as counted while they were written."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    written = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return written, seen.get["n"]
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that cut() wrote, when nothing reads it any more."""
     spark = df.sparkSession
@@ -60,11 +70,3 @@ def drop(df: DataFrame) -> None:
     _remove(spark, gone)
     for p in gone:
         mine.remove(p)
-
-
-def broadcast_if_small(df: DataFrame, limit_bytes: int = 32 << 20, rows: int | None = None, row_bytes: int = 64) -> tuple[DataFrame, bool]:
-    """(df with a broadcast hint, True) when its counted size is under the limit, else (df, False): the caller's join then shuffles."""
-    from pyspark.sql import functions as F
-
-    n = df.count() if rows is None else rows
-    return (F.broadcast(df), True) if n * row_bytes <= limit_bytes else (df, False)
