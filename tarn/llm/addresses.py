@@ -5,25 +5,39 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import addresswords as A
-from tarn.llm.components import connected_components
-from tarn.llm.names import dealt, fold, near
+from tarn.llm.components import contract, pairs_within
+from tarn.llm.names import fold
+from tarn.llm.neighbours import near, near_many, sharing
 from tarn.storage import cut
 
-_TYPE = {x: k for k, v in A.TYPES.items() for x in [k, *v.split()]}
-_BEFORE = set(A.BEFORE.split())
-_DIRECTION = {x: v for k, v in A.DIRECTIONS.items() for x in (k, v)}
-_EMPTY = set(A.EMPTY.split())
-_ENDS = set(A.TOWN_ENDS.split())
-_UNIT = "|".join(sorted(A.UNITS.split(), key=len, reverse=True))
+_TYPE = {x: k for k, v in A.TYPES.items() for x in [k, *v]}
+_BEFORE = set(A.BEFORE)
+_DIRECTION = {x: v[0] for k, v in A.DIRECTIONS.items() for x in [k, *v]}
+_EMPTY = set(A.EMPTY)
+_UNIT = "|".join(sorted(A.UNITS, key=len, reverse=True))
 _unit = re.compile(rf"\b(?:\d+(?:st|nd|rd|th)|gr|ground)\.? floor\b|\b(?:{_UNIT})\b\.? ?#?(?:\d{{1,3}}[a-z]?|[a-h])\b(?! ?(?:{'|'.join(sorted(_TYPE, key=len, reverse=True))})\b)")
-_landmark = re.compile(rf"\b(?:{'|'.join(A.NEAR.split())})\b\.? ?(?:to )?(?:{A.LANDMARKS})\b")
+_NEAR = "|".join(A.NEAR)
+_landmark = re.compile(rf"\b(?:{_NEAR})\b\.? ?(?:to |de |du )?(?:the )?(?:{'|'.join(sorted(A.LANDMARKS, key=len, reverse=True))})\b")
+_beside = re.compile(rf"(?:^|(?<=[,;/|]))\s*(?:{_NEAR})\b\.? ?[^\d,;/|]*(?=[,;/|]|$)")
 _postcode = re.compile(r"(?<!\d)(?:(\d{5})(?:-\d{4})?|(\d{3}) ?(\d{3}))(?![\d])")
+_lettered = re.compile(r"\b(?:([a-z]\d[a-z]) ?(\d[a-z]\d)|([a-z]{1,2}\d[a-z\d]?) (\d(?!st|nd|rd|th)[a-z]{2}))\b")
 _full_state = re.compile(rf"\b(?:{'|'.join(sorted((s for s in A.STATES), key=len, reverse=True))})\b")
+_country = re.compile(rf"[\s,;/|-]+(?:{'|'.join(re.escape(c) for c in sorted(A.COUNTRIES, key=len, reverse=True))})\W*$")
+_ending = re.compile(rf"\b([a-z]{{3,}}?)({'|'.join(sorted(A.ENDINGS, key=len, reverse=True))})\b")
+_ordinal = re.compile(r"\b(\d+)(?:st|nd|rd|th)\b")
+_words = re.compile(r"[a-z]+|\d+[a-z]?")
+_hyphen = re.compile(r"(?<=\w)-(?=[a-z])")
+_parts = re.compile(r"[,;/|#]|(?<= )-")
+_zero, _one = re.compile(r"(?<=[A-Za-z])0(?=[A-Za-z])"), re.compile(r"(?<=[A-Za-z])1(?=[A-Za-z])")
+_glued = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])|(?<=[A-Za-z]{3})(?=\d)|(?<=\d)(?=[A-Z][a-z]{2})")
+_space = re.compile(r"\s+")
 _CODES = set(A.STATES.values())
 
 
@@ -31,11 +45,12 @@ def plain(text: str | None) -> str:
     """Lower case without accents, with spaces where words were run together, digits inside words as letters."""
     if text is None:
         return ""
-    t = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    t = re.sub(r"(?<=[A-Za-z])0(?=[A-Za-z])", "o", t)
-    t = re.sub(r"(?<=[A-Za-z])1(?=[A-Za-z])", "l", t)
-    t = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])|(?<=[A-Za-z]{3})(?=\d)|(?<=\d)(?=[A-Z][a-z]{2})", " ", t)
-    return re.sub(r"\s+", " ", t).strip().lower()
+    t = text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text.replace("ß", "ss")) if not unicodedata.combining(c))
+    if "0" in t:
+        t = _zero.sub("o", t)
+    if "1" in t:
+        t = _one.sub("l", t)
+    return _space.sub(" ", _glued.sub(" ", t)).strip().lower()
 
 
 def parse_address(text: str | None) -> dict | None:
@@ -43,14 +58,23 @@ def parse_address(text: str | None) -> dict | None:
 
     None for null and blank texts. Parts inside a building and landmarks are left out.
     """
+    out = dict.fromkeys(("number", "direction", "street", "kind", "town", "state", "postcode"), "")
+    raw = (text or "").lower()
+    for m in reversed(list(_lettered.finditer(raw))):  # before a digit among letters is read as a letter
+        out["postcode"] = "".join(x for x in m.groups() if x)
+        text = f"{text[: m.start()]} | {text[m.end() :]}" if len(raw) == len(text) else f"{raw[: m.start()]} | {raw[m.end() :]}"
+        break
     t = plain(text)
     if not t:
         return None
-    out = dict.fromkeys(("number", "direction", "street", "kind", "town", "state", "postcode"), "")
+    t = _country.sub("", t)
     t = _landmark.sub(" , ", t)
+    t = _beside.sub(" ", t)
     t = _unit.sub(" , ", t)
-    t = re.sub(r"\b(\d+)(?:st|nd|rd|th)\b", lambda m: "nth" + "".join(chr(97 + int(c)) for c in m[1]), t)  # a street's name, no house number
-    for m in reversed(list(_postcode.finditer(t))):
+    t = re.sub(r"\bc/ ?", "calle ", t) if "c/" in t else t
+    t = _ordinal.sub(lambda m: "nth" + "".join(chr(97 + int(c)) for c in m[1]), t)  # a street's name, no house number
+    t = _ending.sub(lambda m: f"{m[1]} {A.ENDINGS[m[2]]}", t)
+    for m in reversed(list(_postcode.finditer(t)) if not out["postcode"] else []):
         out["postcode"] = m[1] or m[2] + m[3]
         t = f"{t[: m.start()]} | {t[m.end() :]}"
         break
@@ -60,8 +84,7 @@ def parse_address(text: str | None) -> dict | None:
         if not (words and words[-1].isdigit()):
             out["state"] = A.STATES[m[0]]
             t = f"{t[: m.start()]} | {t[m.end() :]}"
-    parts = [re.findall(r"[a-z]+|\d+[a-z]?", re.sub(r"(?<=\w)-(?=[a-z])", " ", p)) for p in re.split(r"[,;/|#]|(?<= )-", t)]
-    parts = [p for p in parts if p]
+    parts = [_named(p) for p in (_words.findall(_hyphen.sub(" ", p)) for p in _parts.split(t)) if p]
     street: list[str] = []
     rest: list[str] = []
     alone = False
@@ -106,19 +129,22 @@ def parse_address(text: str | None) -> dict | None:
         street, more = _street(rest[:i])
         rest = more + rest[i:]
     name = []
-    for w in street:
-        if w in _TYPE and not out["kind"]:
+    kinds = [i for i, w in enumerate(street) if w in _TYPE]
+    kind = -1 if not kinds or len(street) == 1 else kinds[0] if _TYPE[street[kinds[0]]] in _BEFORE and kinds[0] + 1 < len(street) else kinds[-1]
+    for i, w in enumerate(street):
+        if i == kind:
             out["kind"] = _TYPE[w]
         elif w in _DIRECTION and not out["direction"] and len(street) > 1:
             out["direction"] = _DIRECTION[w]
         elif w not in _EMPTY:
-            name.append(w)
+            name.append(_TYPE.get(w, w))
     if not name and out["direction"]:
         name, out["direction"] = [next(w for w in street if w in _DIRECTION)], ""
     out["street"] = fold("".join(name))
     town = []
-    for w in rest:
-        if w in _CODES and not out["state"] and w not in ("le", "de", "la"):
+    for i, w in enumerate(rest):
+        alone = (i == 0 or rest[i - 1] == ",") and (i + 1 == len(rest) or rest[i + 1] == ",")
+        if w in _CODES and not out["state"] and (alone or w not in A.DOUBTFUL):
             out["state"] = w
         elif w != "," and w not in _EMPTY and not w[0].isdigit() and w not in _CODES:
             town.append(w)
@@ -126,6 +152,11 @@ def parse_address(text: str | None) -> dict | None:
     return out
 
 
+def _named(words: list[str]) -> list[str]:
+    """Initials that stand for a well-known name written out, where a kind of street follows."""
+    return [x for i, w in enumerate(words) for x in (A.INITIALS[w].split() if w in A.INITIALS and i + 1 < len(words) and words[i + 1] in _TYPE else [w])]
+
+
 def _street(words: list[str], tail: bool = False) -> tuple[list[str], list[str]]:
     """(words of the street, other words) of a part without the house number; the other words are the town's.
 
@@ -145,57 +176,104 @@ def _street(words: list[str], tail: bool = False) -> tuple[list[str], list[str]]
     i = 0
     while i < len(words) and (words[i] in _DIRECTION or words[i] in _EMPTY):
         i += 1
-    if i < len(words) and words[i] in _TYPE and i + 1 < len(words):
+    if i + 1 < len(words) and words[i] in _TYPE and (_TYPE[words[i]] in _BEFORE or words[i + 1] not in _TYPE):
         j = i + 1
         while j < len(words) and words[j] in _EMPTY:
             j += 1
         return words[: j + 1], words[j + 1 :]
     k = next((k for k in range(i + 1, min(i + 4, len(words))) if words[k] in _TYPE), None)
     if k is not None:
+        k += k + 2 == len(words) and words[k + 1] in _DIRECTION  # a direction behind the kind ends the part
         return words[: k + 1], words[k + 1 :]
     return words[: i + 1], words[i + 1 :]
 
 
-#: Most forms of address that one task compares at once; larger blocks are split, every part meeting every other.
-BLOCK = 1000
 _FORM = ["number", "direction", "street", "kind", "town", "state", "postcode"]
 
 
-def same_street(a: str, b: str) -> bool:
+def _limit(a: int, b: int) -> int:
+    """Typing errors that two names of these lengths may have between them: two, one when short."""
+    return 2 if min(a, b) >= 5 else 1 if min(a, b) >= 3 else 0
+
+
+def same_name(a: str, b: str) -> bool:
     """Street or town names at most two typing errors apart, one when short."""
-    limit = 2 if min(len(a), len(b)) >= 5 else 1 if min(len(a), len(b)) >= 3 else 0
+    limit = _limit(len(a), len(b))
     return a == b or near(a, b, limit) <= limit
 
 
-def same_building(a: tuple, b: tuple) -> bool:
-    """Two forms (number, direction, street, kind, town, state, postcode) name one building.
+def _near_columns(x: pd.Series, y: pd.Series) -> np.ndarray:
+    """Edits of each pair of texts, up to two; more as 3."""
+    codes, texts = pd.factorize(np.concatenate([x.to_numpy(object), y.to_numpy(object)]))
+    return near_many(list(texts), codes[: len(x)], codes[len(x) :], 2) if len(x) else np.empty(0, np.int64)
+
+
+def same_building(p: pd.DataFrame) -> np.ndarray:
+    """For pairs of forms (columns x_number ... y_postcode): 2 where they name one building, 1 where the form without
+    postcode and town may stand for the other, 0 else.
 
-    House number and direction must be equal, the street nearly, its kind equal or missing once. Two postcodes decide; with
-    one missing the towns do, with states equal or missing; a form with neither town nor postcode is left to unplaced().
+    House number and direction are equal, the street nearly, its kind equal or missing once. Then, with both postcodes equal,
+    towns must not contradict; with postcodes that differ by one typing error, street and town must be the same; with one
+    missing, towns must be nearly equal and states equal or missing. A form with neither may stand for another where the
+    states are equal or missing.
     """
-    if a[0] != b[0] or a[1] != b[1] or a[3] != b[3] and a[3] and b[3] or not same_street(a[2], b[2]):
-        return False
-    if a[6] and b[6]:
-        return a[6] == b[6]
-    return bool(a[4] and b[4]) and same_street(a[4], b[4]) and (a[5] == b[5] or not a[5] or not b[5])
-
-
-def _compare(batches):
-    for pdf in batches:
-        out = set()
-        for members, queries in zip(pdf["members"], pdf["queries"]):
-            held = [(m, tuple(m.split("|"))) for m in members]
-            asked = held if queries is None else [(q, tuple(q.split("|"))) for q in queries]
-            for i, (x, fx) in enumerate(asked):
-                for y, fy in held[i + 1 :] if queries is None else held:
-                    if x != y and same_building(fx, fy):
-                        out.add((min(x, y), max(x, y)))
-        yield pd.DataFrame(sorted(out), columns=["a", "b"])
+    x, y = ({c: p[f"{s}_{c}"].to_numpy(object) for c in _FORM} for s in "xy")
+    size = {c: np.minimum(*(np.array([len(t) for t in s[c]], dtype=np.int64) for s in (x, y))) for c in ("street", "town", "postcode")}
+    limit = {c: np.where(size[c] >= 5, 2, np.where(size[c] >= 3, 1, 0)) for c in ("street", "town")}
+    street, town, code = (_near_columns(p[f"x_{c}"], p[f"y_{c}"]) for c in ("street", "town", "postcode"))
+    open_ = lambda c: (x[c] == "") | (y[c] == "")
+    base = (x["number"] == y["number"]) & (x["direction"] == y["direction"]) & ((x["kind"] == y["kind"]) | open_("kind")) & (street <= limit["street"])
+    part = np.array([len(a) >= 3 and len(b) >= 3 and (a in b or b in a) for a, b in zip(x["town"], y["town"])], dtype=bool)
+    towns = (town <= limit["town"]) & ~open_("town")
+    state = (x["state"] == y["state"]) | open_("state")
+    both = ~open_("postcode")
+    same = both & (code == 0) & (towns | part | open_("town"))
+    same |= both & (code == 1) & (street == 0) & towns & (town == 0) & state
+    same |= ~both & towns & state
+    bare = lambda s: (s["postcode"] == "") & (s["town"] == "")
+    stands = (bare(x) != bare(y)) & state
+    return np.where(base & same, 2, np.where(base & stands, 1, 0))
+
+
+def form_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, key, asks): hierarchical keys of forms written with "|", each of house number and direction and one more level.
+
+    The levels: postcode; town; three letters of an end of the street with three of an end of the town; and, where the form has
+    neither postcode nor town, three letters of an end of the street, for which that form asks alone.
+    """
+    index: list[int] = []
+    keys: list[int] = []
+    asks: list[bool] = []
+    for i, t in enumerate(texts):
+        number, direction, street, _, town, _, postcode = t.split("|")
+        base = f"{number}|{direction}|"
+        bare = not postcode and not town
+        own = [(f"p{postcode}", True)] if postcode else []
+        if town:
+            own.append((f"t{town}", True))
+            own += [(f"e{n}{s}|{m}{u}", True) for n, s in enumerate((street[:3], street[-3:])) for m, u in enumerate((town[:3], town[-3:]))]
+        own += [(f"s{n}{s}", bare) for n, s in enumerate((street[:3], street[-3:]))]
+        for k, a in own:
+            index.append(i)
+            keys.append(xxhash.xxh64_intdigest(base + k))
+            asks.append(a)
+    return np.array(index, dtype=np.int64), np.array(keys, dtype=np.uint64), np.array(asks, dtype=bool)
+
+
+def _compared(batches):
+    for p in batches:
+        kind = same_building(p)
+        some = kind > 0
+        yield pd.DataFrame({"u": p["x"][some], "v": p["y"][some], "same": kind[some] == 2})
 
 
 def parse_table(rows: DataFrame, address: str) -> DataFrame:
-    """(address, form) for each distinct text of rows[address] that names a house number and a street; form holds the
-    components joined by "|", the town being, where the postcode is known, the one most often written with it."""
+    """(address, form, its components) for each distinct text of rows[address] that names a house number and a street; form
+    holds the components joined by "|".
+
+    A missing town, or one that is a misspelling or a part of it, becomes the town most often written with the postcode; any
+    other town stays as stated. A missing state becomes the one most often written with the postcode.
+    """
     texts = rows.select(F.col(f"`{address}`").cast("string").alias("address")).where(F.col("address").rlike(r"(?U)\w")).distinct()
 
     def parse(batches):
@@ -204,43 +282,40 @@ def parse_table(rows: DataFrame, address: str) -> DataFrame:
             yield pd.DataFrame({"address": p["address"]} | {c: [g[c] for g in got] for c in _FORM})
 
     parsed = cut(texts.mapInPandas(parse, "address string, " + ", ".join(f"{c} string" for c in _FORM)).where("number <> '' AND street <> ''"))
-    towns = parsed.where("postcode <> '' AND town <> ''").groupBy("postcode", "town").agg(F.count(F.lit(1)).alias("n"))
-    usual = towns.groupBy("postcode").agg(F.max(F.struct("n", "town"))["town"].alias("usual"))
-    states = parsed.where("postcode <> '' AND state <> ''").groupBy("postcode", "state").agg(F.count(F.lit(1)).alias("n"))
-    state = states.groupBy("postcode").agg(F.max(F.struct("n", "state"))["state"].alias("usual_state"))
-    full = parsed.join(usual, "postcode", "left").join(state, "postcode", "left")
-    full = full.withColumn("town", F.coalesce("usual", "town")).withColumn("state", F.coalesce("usual_state", "state"))
+    usual = lambda c: (
+        parsed.where(f"postcode <> '' AND {c} <> ''").groupBy("postcode", c).agg(F.count(F.lit(1)).alias("n")).groupBy("postcode").agg(F.max(F.struct("n", c))[c].alias(f"usual_{c}"))
+    )
+    codes = usual("town").join(usual("state"), "postcode", "full")
+    full = parsed.join(codes, "postcode", "left")
+    stated = [[F.col("town"), F.col("usual_town")], [F.col("usual_town"), F.col("town")]]
+    misspelt = F.levenshtein("town", "usual_town", 2).between(0, 2) & (F.length("town") >= 5) | F.lit(False)
+    for a, b in stated:
+        misspelt = misspelt | (F.length(b) >= 3) & a.contains(b)
+    town = F.when((F.col("town") == "") | misspelt, F.coalesce("usual_town", "town")).otherwise(F.col("town"))
+    full = full.withColumns({"town": town, "state": F.when(F.col("state") == "", F.coalesce("usual_state", "state")).otherwise(F.col("state"))})
     return full.select("address", *_FORM, F.concat_ws("|", *_FORM).alias("form"))
 
 
 def address_groups(rows: DataFrame, address: str) -> DataFrame:
-    """(address, form, group_id) for each distinct usable text of rows[address]: texts of one building share group_id.
+    """(address, building, number, street, town, postcode) for each distinct usable text: texts of one building share a number.
 
-    Hierarchical keys: forms meet that share house number and direction and either the postcode, or the town or an end of it
-    (five letters), or the street with three letters of an end of the town; same_building() decides, connected components
-    gather. A form with neither postcode nor town joins a building only where one alone fits its number, direction, street,
-    kind and state.
+    Addresses are parsed, expanded and put in one order (parse_table): equal forms are one. Other forms meet on hierarchical
+    keys (form_keys), same_building() decides, and connected components gather. A form with neither postcode nor town joins a
+    building only where one alone fits. The keys let nothing of one postcode or town be missed; where the postcode is missing
+    or misspelt, of street and town each one end of three letters must be as written, or the town whole.
     """
     parsed = cut(parse_table(rows, address))
-    forms = parsed.select(*_FORM, "form").distinct()
-    base = [F.col("number"), F.col("direction")]
-    key = lambda *c: F.concat_ws("|", *base, *c)
-    keys = F.array(
-        F.when(F.col("postcode") != "", key(F.lit("p"), F.col("postcode"))), F.when(F.col("town") != "", key(F.lit("t"), F.col("town"))),
-        F.when(F.col("town") != "", key(F.lit("a"), F.col("street"), F.substring("town", 1, 3))), F.when(F.col("town") != "", key(F.lit("z"), F.col("street"), F.substring("town", -3, 3))),
-        F.when(F.col("town") != "", key(F.lit("b"), F.substring("town", 1, 5))), F.when(F.col("town") != "", key(F.lit("e"), F.substring("town", -5, 5))),
-    )
-    keyed = forms.select(F.explode(keys).alias("key"), F.col("form").alias("r")).where("key IS NOT NULL")
-    links = dealt(keyed, BLOCK).mapInPandas(_compare, "a string, b string").distinct()
-    groups = connected_components(links, "a", "b", forms, "form").withColumnRenamed("entity_id", "form")
-    placed = cut(forms.join(groups, "form"))
-    alone = placed.where("postcode = '' AND town = ''")
-    known = placed.where("postcode <> '' OR town <> ''")
-    on = ["number", "direction", "street", "state"]
-    fits = alone.select(*on, "form", F.col("kind").alias("own")).join(known.select(*on, "kind", "group_id"), on).where("own = kind OR own = '' OR kind = ''")
-    one = fits.groupBy("form").agg(F.min("group_id").alias("found"), F.max("group_id").alias("last")).where("found = last").select("form", "found")
-    final = placed.join(one, "form", "left").select("form", F.coalesce("found", "group_id").alias("group_id"))
-    return parsed.join(final, "form").select("address", "form", "group_id", "number", "direction", "street", "town", "postcode")
+    forms = cut(parsed.select(*_FORM, "form").distinct().withColumn("id", F.monotonically_increasing_id()))
+    pairs = sharing(forms.select("id", F.col("form").alias("text")), form_keys, 10)
+    side = lambda s: forms.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in _FORM])
+    found = cut(pairs.join(side("x"), "x").join(side("y"), "y").mapInPandas(_compared, "u long, v long, same boolean"))
+    groups = contract(found.where("same").select("u", "v"))
+    placed = cut(forms.join(groups, "id", "left").select("id", "form", F.coalesce("group_id", "id").alias("building"), ((F.col("postcode") == "") & (F.col("town") == "")).alias("bare")))
+    may = found.where("NOT same").select("u", "v").union(found.where("NOT same").select("v", "u")).toDF("id", "other")
+    known = placed.where("NOT bare").select(F.col("id").alias("other"), F.col("building").alias("found"))
+    one = may.join(known, "other").groupBy("id").agg(F.min("found").alias("found"), F.max("found").alias("last")).where("found = last").select("id", "found")
+    final = placed.join(one, "id", "left").select("form", F.when(F.col("bare"), F.coalesce("found", "building")).otherwise(F.col("building")).alias("building"))
+    return cut(parsed.join(final, "form").select("address", "building", "number", "street", "town", "postcode"))
 
 
 def same_location(rows: DataFrame, key: str, address: str) -> DataFrame:
@@ -249,7 +324,6 @@ def same_location(rows: DataFrame, key: str, address: str) -> DataFrame:
     Null and blank addresses, and those without a house number or street, have no pairs. A key with several rows has the
     addresses of all. An empty table gives none; other columns are not read.
     """
-    groups = address_groups(rows, address).select("address", "group_id")
+    groups = address_groups(rows, address).select("address", "building")
     named = rows.select(F.col(f"`{key}`").alias("id"), F.col(f"`{address}`").cast("string").alias("address")).where("id IS NOT NULL AND address IS NOT NULL")
-    ids = cut(named.join(groups, "address").select("id", "group_id").distinct())
-    return ids.toDF("a", "group_id").join(ids.toDF("b", "group_id"), "group_id").where("a < b").select("a", "b").distinct()
+    return pairs_within(named.join(groups, "address").select("id", "building"), "id", "building")

@@ -5,54 +5,93 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.storage import cut, drop
+from tarn.storage import cut, cut_counted, drop
 
 MAX_ROUNDS = 200
 
 
-def connected_components(links: DataFrame, a: str, b: str, vertices: DataFrame | None = None, vertex: str | None = None) -> DataFrame:
-    """(entity_id, group_id): every id of links[a], links[b] and vertices[vertex]; group_id is the smallest id of its group.
+def contract(edges: DataFrame) -> DataFrame:
+    """edges(u, v) of longs -> (id, group_id): every id with an edge to another one; group_id is the least id of its group.
 
-    Random contraction: each vertex hooks to the one of itself and its neighbours that is first in a hash order drawn
-    afresh for the round; edges are relabelled and de-duplicated, and the next round works on what is left. A round at
-    least shrinks the vertices with an edge by a constant factor in expectation, whatever the shape (a chain or a star
-    too), so rounds grow with the logarithm of the graph. The mappings are expanded from the last to the first.
+    Random contraction: in a round each vertex hooks to the one at most two steps away that comes first in a hash order drawn
+    afresh, edges are relabelled and de-duplicated, and the next round works on what is left. A round shrinks the vertices
+    with an edge by a constant factor in expectation, whatever the shape (a chain or a star too), so rounds grow with the
+    logarithm of the graph. The mappings are expanded from the last to the first.
 
-    A vertex's choice is a min aggregate with map-side combining, so a hub with a third of all edges is one row per map
-    task; relabelling joins edges with the much smaller mapping, where adaptive execution splits a skewed side. Each round
-    is written to the shared folder, so plans stay short and executors may be lost.
-
-    Null ids make no vertex and no edge; self links and repeated links change nothing; a row with one null id still makes
-    the other a vertex. Empty input gives no rows. Ties cannot occur: ids break ties of hashes. Other columns are ignored.
+    A round's order is the 64-bit hash of a long under the round's seed, which is one-to-one; the hash itself becomes the
+    vertex's label of the next round, so a vertex's choice is a min of longs in a hash table with map-side combining, and a
+    hub with a third of all edges is one row per map task. What is left without an edge keeps (round, label) as its root.
     """
-    ends = links.select(F.col(f"`{a}`").alias("u"), F.col(f"`{b}`").alias("v"))
-    named = ends.select(F.explode(F.array("u", "v")).alias("entity_id"))
-    if vertices is not None:
-        named = named.union(vertices.select(F.col(f"`{vertex}`")))
-    named = named.where("entity_id IS NOT NULL").distinct()
-    edges = cut(ends.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    maps = []
+    spark = edges.sparkSession
+    edges, n_edges = cut_counted(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    maps: list[DataFrame] = []
     for n in range(MAX_ROUNDS):
-        if edges.isEmpty():
+        if not n_edges:
             break
         both = edges.union(edges.select("v", "u"))
-        order = lambda c: F.struct(F.xxhash64(F.lit(n), F.col(c)).alias("h"), F.col(c).alias("id"))
-        hooks = both.groupBy("u").agg(F.min(order("v")).alias("other")).select(F.col("u").alias("x"), F.least(order("u"), "other")["id"].alias("to"))
-        hooks = cut(hooks)
+        first = both.groupBy("u").agg(F.min(F.xxhash64(F.lit(n), "v")).alias("m")).select(F.col("u").alias("v"), F.least(F.xxhash64(F.lit(n), "u"), "m").alias("m"))
+        hooks = cut(both.join(first, "v").groupBy("u").agg(F.min("m").alias("to")).withColumnRenamed("u", "x"))
         maps.append(hooks)
-        left, right = hooks.toDF("u", "p"), hooks.toDF("v", "q")
-        fresh = edges.join(left, "u").join(right, "v").where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct()
-        spent, edges = edges, cut(fresh)
+        moved = edges.join(hooks.toDF("u", "p"), "u").join(hooks.toDF("v", "q"), "v").where("p <> q")
+        spent = edges
+        edges, n_edges = cut_counted(moved.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
         drop(spent)
     else:
         raise RuntimeError(f"links did not contract in {MAX_ROUNDS} rounds")
+    drop(edges)
     if not maps:
-        return named.select("entity_id", F.col("entity_id").alias("group_id"))
-    while len(maps) > 1:
-        last = maps.pop()
-        first = maps.pop()
-        joined = first.join(last.toDF("to", "further"), "to", "left").select("x", F.coalesce("further", "to").alias("to"))
-        maps.append(cut(joined) if len(maps) % 4 == 3 else joined)
-    root = cut(named.join(maps[0].withColumnRenamed("x", "entity_id"), "entity_id", "left").select("entity_id", F.coalesce("to", "entity_id").alias("root")))
-    smallest = root.groupBy("root").agg(F.min("entity_id").alias("group_id"))
-    return root.join(smallest, "root").select("entity_id", "group_id")
+        return spark.createDataFrame([], "id bigint, group_id bigint")
+    whole = maps[-1].withColumn("round", F.lit(len(maps)))
+    for k in range(len(maps) - 2, -1, -1):
+        step = maps[k].join(whole.select(F.col("x").alias("to"), F.col("to").alias("further"), "round"), "to", "left")
+        whole = step.select("x", F.coalesce("further", "to").alias("to"), F.coalesce("round", F.lit(k + 1)).alias("round"))
+        if k % 8 == 7:
+            whole = cut(whole)
+    whole = cut(whole)
+    for m in maps:
+        drop(m)
+    least = whole.groupBy("round", "to").agg(F.min("x").alias("group_id"))
+    return whole.join(least, ["round", "to"]).select(F.col("x").alias("id"), "group_id")
+
+
+def numbered(ids: DataFrame, column: str) -> DataFrame:
+    """(column, id): the distinct non-null values with longs in their order, written once (a range shuffle; no global counter)."""
+    named = ids.select(F.col(f"`{column}`").alias(column)).where(F.col(column).isNotNull()).distinct()
+    return cut(named.orderBy(column).withColumn("id", F.monotonically_increasing_id()))
+
+
+def connected_components(links: DataFrame, a: str, b: str, vertices: DataFrame | None = None, vertex: str | None = None) -> DataFrame:
+    """(entity_id, group_id): every id of links[a], links[b] and vertices[vertex]; group_id is the smallest id of its group.
+
+    Ids get longs in their own order once; contract() works on these alone, and ids come back by a join at the end.
+
+    Null ids make no vertex and no edge; self links and repeated links change nothing; a row with one null id still makes
+    the other a vertex. Empty input gives no rows. Ties cannot occur. Other columns are ignored.
+    """
+    ends = cut(links.select(F.col(f"`{a}`").alias("u"), F.col(f"`{b}`").alias("v")).distinct())
+    named = ends.select(F.explode(F.array("u", "v")).alias("entity_id"))
+    if vertices is not None:
+        named = named.union(vertices.select(F.col(f"`{vertex}`")))
+    ids = numbered(named, "entity_id")
+    edges = ends.where("u <> v").join(ids.toDF("u", "i"), "u").join(ids.toDF("v", "j"), "v").select(F.col("i").alias("u"), F.col("j").alias("v"))
+    placed = cut(ids.join(contract(edges), "id", "left").select("entity_id", F.coalesce("group_id", "id").alias("group")))
+    return placed.join(ids.select(F.col("id").alias("group"), F.col("entity_id").alias("group_id")), "group").select("entity_id", "group_id")
+
+
+#: Members of a group from which its pairs are made in several tasks.
+MEMBERS = 1000
+
+
+def pairs_within(members: DataFrame, key: str, group: str) -> DataFrame:
+    """(a, b), a < b: the distinct pairs of keys that share a group.
+
+    A group of more than MEMBERS keys is cut by hash: each part of it, about MEMBERS keys, meets all of the group in a task
+    of its own. Null keys and groups have no pairs.
+    """
+    ids = cut(members.select(F.col(f"`{key}`").alias("id"), F.col(f"`{group}`").alias("g")).where("id IS NOT NULL AND g IS NOT NULL").distinct())
+    hot = ids.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MEMBERS).select("g", F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"))
+    held = ids.join(hot, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    one = held.select(F.col("id").alias("a"), "g", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    other = held.select(F.col("id").alias("b"), "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = one.join(other, ["g", "part"]).where("a < b").select("a", "b")
+    return pairs.distinct()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -12,108 +14,112 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import namewords as N
-from tarn.llm.components import connected_components
+from tarn.llm.components import contract, pairs_within
+from tarn.llm.neighbours import BLOCK, letter_keys, near, near_many, sharing
 from tarn.storage import cut
 
-#: Edits between two spellings of one pair of family names; a swap of neighbours is one edit.
-EDITS = 3
-#: Marks the reading of a name without family names, which is compared as written only.
+#: Letters taken from either spelling to leave the same letters in both; and edits, a swap of neighbours being one.
+LETTERS, EDITS = 2, 3
+#: Marks the reading of a name that has no words but trade, legal form and the like, which is compared as written only.
 AS_WRITTEN = "="
-#: Longer names (in words besides trade, legal form, town) are read in one way only: first half and second half.
-MOST_WORDS = 6
-#: Most strings of a shard; larger shards are split, every block meeting every other.
-BLOCK = 4096
-#: Letters of the ends that are dealt to shards; strings of fewer than twice as many and one have shorter ends.
-LONGEST_END = 6
-#: Pairs that are measured together.
-PAIRS = 500_000
-
-_PHRASES = {tuple(x.split()): k for k, v in N.TRADE.items() for x in [k, *v.split("|")] if x}
-_LEGAL = {x: k for k, v in N.LEGAL.items() for x in [k, *v.split()]}
+#: Words of which all orders are tried.
+ORDERED = 4
+
+_PHRASES = {tuple(x.split()): k for k, v in N.TRADE.items() for x in [k, *v]}
+_LONGEST = max(map(len, _PHRASES))
+_LEGAL = {x: k for k, v in N.LEGAL.items() for x in [k, *v]}
 _GIVEN: dict[str, set[str]] = {}
 for _k, _v in N.GIVEN.items():
-    for _x in [_k, *_v.split()]:
+    for _x in [_k, *_v]:
         _GIVEN.setdefault(_x, set()).add(_k)
-_EMPTY = set(N.EMPTY_WORDS.split())
-_TOWN_ENDS = {"heights", "falls", "springs"}
-_TRADE_WORDS = {w for p in _PHRASES for w in p}
+_EMPTY = set(N.EMPTY_WORDS)
+_TOWN_ENDS = set(N.TOWN_ENDS)
+_TRADE_WORDS = {w for p in _PHRASES for w in p if len(w) > 3}
+_FULL_TRADE = {w: _PHRASES.get((w,), "") for w in _TRADE_WORDS}
+_BEGINNINGS = {w[:n] for w in _TRADE_WORDS for n in range(3, len(w))}
+
+_zero = re.compile(r"(?<=[a-z])0(?!\d)|(?<!\d)0(?=[a-z])")
+_one = re.compile(r"(?<=[a-z])1(?!\d)|(?<!\d)1(?=[a-z])")
+_initials = re.compile(r"\b(?:[a-z]\.){2,}[a-z]?\b")
+_between = re.compile(r"[\W_]+")
+_repeated = re.compile(r"(.)\1+")
 
 
 def plain(text: str | None) -> str:
     """Lower case without accents; a lone 0 or 1 beside letters as the letter it looks like; dotted initials joined."""
     if text is None:
         return ""
-    t = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
-    t = re.sub(r"(?<=[a-z])0(?!\d)|(?<!\d)0(?=[a-z])", "o", t)
-    t = re.sub(r"(?<=[a-z])1(?!\d)|(?<!\d)1(?=[a-z])", "l", t)
-    t = re.sub(r"\b(?:[a-z]\.){2,}[a-z]?\b", lambda m: m[0].replace(".", ""), t)
-    return re.sub(r"[\W_]+", " ", t.replace("'", "").replace("’", "").replace("m/s", " ")).strip()
+    t = text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    t = t.lower()
+    if "0" in t:
+        t = _zero.sub("o", t)
+    if "1" in t:
+        t = _one.sub("l", t)
+    if "." in t:
+        t = _initials.sub(lambda m: m[0].replace(".", ""), t)
+    return _between.sub(" ", t.replace("'", "").replace("’", "").replace("m/s", " ")).strip()
 
 
 def fold(word: str) -> str:
     """Spellings that sound or look alike become one: ph/f, y/i, c/k, rn/m, doubled letters."""
-    return re.sub(r"(.)\1+", r"\1", word.replace("rn", "m").replace("ph", "f").replace("y", "i").replace("c", "k").replace("vv", "w"))
-
-
-def near(a: str, b: str, limit: int) -> int:
-    """Edits from a to b with swaps of neighbours as one edit, or limit + 1 when more than limit."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        if min(row) > limit:
-            return limit + 1
-        before, last = last, row
-    return min(last[-1], limit + 1)
+    return _repeated.sub(r"\1", word.replace("rn", "m").replace("ph", "f").replace("y", "i").replace("c", "k").replace("vv", "w"))
+
+
+def _without(word: str, n: int) -> set[str]:
+    """The word with up to n letters taken out."""
+    out = last = {word}
+    for _ in range(n):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+_TYPOS: dict[str, set[str]] = {}
+for _w in [*_GIVEN, *_TRADE_WORDS]:
+    if len(_w) >= 5:
+        for _x in _without(_w, 2):
+            _TYPOS.setdefault(_x, set()).add(_w)
 
 
 @lru_cache(maxsize=200_000)
-def _misspelt(word: str) -> tuple[str, str] | None:
-    """The known word that a word is a typo of, or a shortening of: (kind, canonical)."""
-    if any(w.startswith(word) for w in _TRADE_WORDS if len(w) > len(word)):
+def misspelt(word: str) -> tuple[str, str] | None:
+    """(kind, canonical) of the known word that a word is a shortening or a typo of: one edit, two from eight letters on."""
+    if word in _BEGINNINGS:
         return "trade", ""
+    if len(word) < 5:
+        return None
     limit = 2 if len(word) >= 8 else 1
-    if len(word) >= 5:
-        for known, names in _GIVEN.items():
-            if len(known) >= 5 and near(word, known, limit) <= limit:
-                return "given", "|".join(sorted(names))
-        for known in _TRADE_WORDS:
-            if len(known) >= 5 and near(word, known, limit) <= limit:
-                return "trade", next((k for p, k in _PHRASES.items() if p == (known,)), "")
-    return None
+    close = sorted((near(word, k, limit), k) for k in {k for x in _without(word, limit) for k in _TYPOS.get(x, ())})
+    if not close or close[0][0] > limit:
+        return None
+    found = close[0][1]
+    return ("given", "|".join(sorted(_GIVEN[found]))) if found in _GIVEN else ("trade", _FULL_TRADE[found])
 
 
 def split_name(text: str | None) -> dict:
-    """words: what is left after legal form, trade, given name and words without identity; town marks words after "of".
+    """words: what is left after legal form, trade, given name and words without identity; towns marks words after "of".
 
     -> {"trade", "legal", "given", "words", "towns"}: trade "" when missing; given names joined by "|", one letter for an
-    initial; towns are the positions in words that "of" shows to be a town.
+    initial; towns are the positions in words that "of", or a last word of town names, shows to be a town.
     """
     w = plain(text).split()
-    out = {"trade": "", "legal": "", "given": "", "words": [], "towns": []}
-    i, town = 0, 0
-    while i < len(w):
-        two, one = _PHRASES.get(tuple(w[i : i + 2])) if i + 1 < len(w) else None, _PHRASES.get((w[i],))
-        if two or one:
-            out["trade"] = out["trade"] or two or one
-            i += 2 if two else 1
+    out: dict = {"trade": "", "legal": "", "given": "", "words": [], "towns": []}
+    words, towns = out["words"], out["towns"]
+    i, town, n = 0, 0, len(w)
+    while i < n:
+        size = next((k for k in range(min(_LONGEST, n - i), 0, -1) if tuple(w[i : i + k]) in _PHRASES), 0)
+        if size:
+            out["trade"] = out["trade"] or _PHRASES[tuple(w[i : i + size])]
+            i += size
             town = 0
             continue
         x = w[i]
         if x == "of":
-            if i + 1 < len(w) and (i + 1, w[i + 1]) and tuple(w[i + 1 : i + 2]) not in _PHRASES and w[i + 1] not in _LEGAL:
+            if i + 1 < n and (w[i + 1],) not in _PHRASES and w[i + 1] not in _LEGAL:
                 town = 2
-            elif out["words"]:
-                n = len(out["words"])
-                out["towns"] += [n - 2, n - 1] if out["words"][-1] in _TOWN_ENDS and n > 1 else [n - 1]
+            elif words:
+                k = len(words)
+                towns += [k - 2, k - 1] if words[-1] in _TOWN_ENDS and k > 1 else [k - 1]
         elif x in _LEGAL:
             out["legal"] = out["legal"] or _LEGAL[x]
             town = 0
@@ -125,19 +131,18 @@ def split_name(text: str | None) -> dict:
             out["given"] = "|".join(sorted(_GIVEN[x])) if len(out["given"]) < 2 else out["given"]
         else:
             if town == 2 or (town == 1 and x in _TOWN_ENDS):
-                out["towns"].append(len(out["words"]))
+                towns.append(len(words))
                 town -= 1
-            out["words"].append(x)
+            words.append(x)
         i += 1
     return out
 
 
-def readings(words: list[str], towns: list[bool]) -> tuple[list[str], str, str]:
-    """(family names of each way to read the words, trade, given) from words with the town words marked.
+def reading(words: list[str], towns: list[bool]) -> tuple[str, str, str]:
+    """(folded words in order of the alphabet, trade, given) of a name's words, the town words left out.
 
-    A reading is the two folded family names in order of the alphabet, with a space. Three words or more are a misspelt
-    given name or trade and two names, or a name written apart; one long word is two names written together, read at
-    every place to cut it.
+    Of three words and more, or two with one so long that two are written together, those that are a typo or shortening of
+    a known trade or given name are taken out, as long as two words (or the long one) stay.
     """
     core = [w for w, t in zip(words, towns) if not t]
     if not core or len(core) == 1 and len(core[0]) < 12:  # what looks like a town is part of the name
@@ -147,7 +152,7 @@ def readings(words: list[str], towns: list[bool]) -> tuple[list[str], str, str]:
     if len(core) > 2 or len(core) == 2 and long:
         rest = []
         for w in core:
-            m = _misspelt(w)
+            m = misspelt(w)
             if m is None:
                 rest.append(w)
             elif m[0] == "trade":
@@ -155,248 +160,55 @@ def readings(words: list[str], towns: list[bool]) -> tuple[list[str], str, str]:
             else:
                 given = m[1]
         core = rest if len(rest) >= (1 if long else 2) else core
-    f = [fold(w) for w in core]
-    out: set[tuple[str, str]] = set()
-    if len(f) == 1:
-        if len(f[0]) >= 10:
-            out = {(f[0][:i], f[0][i:]) for i in range(4, len(f[0]) - 3)}
-        elif len(f[0]) >= 3:
-            out = {(f[0], "")}
-    elif len(f) == 2:
-        out = {(f[0], f[1])}
-    elif len(f) == 3:
-        out = {(f[0] + f[1], f[2]), (f[0], f[1] + f[2])}
-    elif len(f) > MOST_WORDS:
-        half = len(f) // 2
-        out = {("".join(f[:half]), "".join(f[half:]))}
-    elif len(f) > 3:
-        for i in range(len(f) - 1):
-            g = f[:i] + [f[i] + f[i + 1]] + f[i + 2 :]
-            out |= {("".join(g[:j]), "".join(g[j:])) for j in range(1, len(g))}
-    return [" ".join(sorted(r)).strip() for r in sorted(out)], trade, given
-
-
-def shard_keys(reading: str) -> list[tuple[str, str]]:
-    """(key, member) for the shards a reading goes to. Readings at most three edits apart, in either order of the names, share a key.
-
-    A member is the reading in one order, "<" or ">" before it. Of three edits in the joined string one end of k letters has at
-    most one, so both sides' ends are equal without one letter; k leaves a letter between the ends, since a swap across a border
-    would count for both. k follows from the shorter string: a string gives the keys for its own length ("<") and for those up
-    to EDITS shorter (">"), so a pair needs one "<". Strings too short for ends of three letters meet in one shard.
-    """
-    if reading.startswith(AS_WRITTEN):
-        return []
-    a, _, b = reading.partition(" ")
-    out: set[tuple[str, str]] = set()
-    for text in {reading, f"{b} {a}" if b else reading}:
-        s = text.replace(" ", "")
-        own = _end(len(s))
-        for k in {_end(n) for n in range(max(len(s) - EDITS, 0), len(s) + 1)}:
-            member = ("<" if k == own else ">") + text
-            if k == 0:
-                out.add(("", member))
-            for i in range(k):
-                out |= {(f"{k}<{s[:i]}{s[i + 1 : k]}", member), (f"{k}>{s[-k:][:i]}{s[-k:][i + 1 :]}", member)}
-    return sorted(out)
-
-
-def _end(length: int) -> int:
-    """Letters of an end where the shorter of two strings has `length`; 0 for no ends."""
-    k = min((length - 1) // 2, LONGEST_END)
-    return k if k >= 3 else 0
-
-
-class Trie:
-    """Strings in a trie, searched with the Levenshtein automaton of a query (bit-parallel, swaps included)."""
-
-    def __init__(self) -> None:
-        self.root: dict = {}
-
-    def add(self, word: str, value) -> None:
-        node = self.root
-        for c in word:
-            node = node.setdefault(c, {})
-        node.setdefault("", set()).add(value)
-
-    def within(self, query: str, edits: int) -> dict:
-        """value -> least edits, of all strings at most `edits` away. A branch is left as soon as the automaton has no state."""
-        masks: dict[str, int] = {}
-        for i, c in enumerate(query):
-            masks[c] = masks.get(c, 0) | 1 << i
-        full, done = (1 << len(query) + 1) - 1, 1 << len(query)
-        first = [(1 << d + 1) - 1 & full for d in range(edits + 1)]
-        found: dict = {}
-        stack = [(self.root, first, None, 0)]
-        while stack:
-            node, state, before, last = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    for d, bits in enumerate(state):
-                        if bits & done:
-                            for v in child:
-                                if found.get(v, edits + 1) > d:
-                                    found[v] = d
-                            break
-                    continue
-                m = masks.get(c, 0)
-                new = [(state[0] & m) << 1]
-                swap = m & last >> 1
-                for d in range(1, edits + 1):
-                    bits = (state[d] & m) << 1 | state[d - 1] | state[d - 1] << 1 | new[d - 1] << 1
-                    if swap and before:
-                        bits |= (before[d - 1] & swap) << 2
-                    new.append(bits & full)
-                if new[edits]:
-                    stack.append((child, new, state, m))
-        return found
-
-
-def _plausible(x: str, y: str, edits: int) -> bool:
-    """Three edits are too many for one name alone: that is another name."""
-    if edits <= 2 or " " not in x or " " not in y:
-        return True
-    (a, b), (c, d) = x.split(" ", 1), y.split(" ", 1)
-    return min(max(near(a, c, 2), near(b, d, 2)), max(near(a, d, 2), near(b, c, 2))) <= 2
-
-
-class _Strings:
-    """Distinct members of an Arrow batch as arrays: letters, lengths, and which letters they have once and twice."""
-
-    def __init__(self, members: list[str]) -> None:
-        text = [m[1:] for m in members]
-        names = [t.partition(" ")[::2] for t in text]
-        self.joined = [t.replace(" ", "") for t in text]
-        self.reading = [" ".join(sorted(n)).strip() for n in names]
-        self.group = pd.factorize(np.array(self.reading, dtype=object))[0]
-        self.turned = np.array([bool(n[1]) and n[0] > n[1] for n in names])
-        self.late = np.array([m[0] == ">" for m in members])
-        self.size = np.array([len(j) for j in self.joined])
-        self.letters = np.array([j[:64] for j in self.joined], dtype="U64").view(np.uint32).reshape(len(text), 64)[:, : max(1, min(64, self.size.max()))]
-        once, twice = np.zeros(len(text), np.uint64), np.zeros(len(text), np.uint64)
-        for c in self.letters.T:
-            bit = np.where(c > 0, np.uint64(1) << (c % 32).astype(np.uint64), np.uint64(0))
-            twice |= once & bit
-            once |= bit
-        self.has = once | twice << np.uint64(32)
-        self.long = self.size > 64
-
-    def alike(self, i: np.ndarray, j: np.ndarray, edits: int) -> np.ndarray:
-        """Whether a pair can be at most `edits` apart: an edit takes one letter away and adds one."""
-        x, y = self.has[i], self.has[j]
-        can = (np.bitwise_count(x & ~y) <= edits) & (np.bitwise_count(y & ~x) <= edits) | self.long[i] | self.long[j]
-        return can & ~(self.turned[i] & self.turned[j]) & ~(self.late[i] & self.late[j]) & (self.group[i] != self.group[j])
-
-    def edits(self, i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
-        """Edits with swaps of neighbours as one (bit-parallel over all pairs), beyond `limit` any larger number."""
-        out = np.full(len(i), limit + 1)
-        for at in np.flatnonzero(self.long[i] | self.long[j]):
-            out[at] = near(self.joined[i[at]], self.joined[j[at]], limit)
-        rest = np.flatnonzero(~(self.long[i] | self.long[j]) & (np.abs(self.size[i] - self.size[j]) <= limit))
-        for at in np.array_split(rest, len(rest) // PAIRS + 1):
-            out[at] = self._edits(i[at], j[at])
-        return out
-
-    def _edits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        one, none = np.uint64(1), np.zeros(len(i), np.uint64)
-        pattern, text, n = self.letters[i], self.letters[j], self.size[i]
-        last = one << (n - 1).astype(np.uint64)
-        up, down, diagonal, before, score = ~none, none, none, none, n.copy()
-        for t in range(int(self.size[j].max(initial=0))):
-            c, m = text[:, t], none.copy()
-            for k in range(int(n.max())):
-                m |= (pattern[:, k] == c).astype(np.uint64) << np.uint64(k)
-            swap = (~diagonal & m) << one & before
-            diagonal = (((m & up) + up) ^ up) | m | down | swap
-            more, less = down | ~(diagonal | up), diagonal & up
-            score += np.where(t < self.size[j], ((more & last) != 0).astype(int) - ((less & last) != 0), 0)
-            more, less = more << one | one, less << one
-            up, down, before = less | ~(diagonal | more), more & diagonal, m
-        return score
-
-
-def _pairs(shards: list[np.ndarray], asked: list[np.ndarray | None], s: _Strings, edits: int):
-    """(i, j): members of one shard that can be near each other; i of the queries where there are any."""
-    whole = [x for x, q in zip(shards, asked) if q is None]
-    if whole:
-        flat, shard = np.concatenate(whole), np.repeat(np.arange(len(whole)), [len(x) for x in whole])
-        flat = flat[np.lexsort((s.late[flat], shard))]  # "<" first: what follows a ">" is ">" too
-        end = np.cumsum([len(x) for x in whole])[shard]
-        at, step = np.flatnonzero(~s.late[flat]), 1
-        while len(at := at[at + step < end[at]]):
-            i, j = flat[at], flat[at + step]
-            can = s.alike(i, j, edits)
-            yield i[can], j[can]
-            step += 1
-    for x, q in zip(shards, asked):
-        for i in [] if q is None else q:
-            j = x[s.alike(np.full(len(x), i), x, edits)]
-            yield np.full(len(j), i), j
-
-
-def _join(batches, edits: int):
-    for pdf in batches:
-        shards, asked = [np.asarray(x, dtype=object) for x in pdf["members"]], [None if x is None else np.asarray(x, dtype=object) for x in pdf["queries"]]
-        parts = shards + [q for q in asked if q is not None]
-        if not parts:
-            continue
-        codes, members = pd.factorize(np.concatenate(parts))
-        s = _Strings(list(members))
-        codes = iter(np.split(codes, np.cumsum([len(x) for x in parts])[:-1]))
-        shards = [next(codes) for _ in shards]
-        asked = [None if q is None else next(codes) for q in asked]
-        kept, n = [np.empty(0, np.int64)], 0
-        for i, j in _pairs(shards, asked, s, edits):
-            kept.append(np.minimum(i, j).astype(np.int64) * len(members) + np.maximum(i, j))
-            n += len(i)
-            if n > 8 * PAIRS:
-                kept, n = [np.unique(np.concatenate(kept))], 0
-        i, j = np.divmod(np.unique(np.concatenate(kept)), len(members))
-        d = s.edits(i, j, edits)
-        found: dict[tuple[str, str], int] = {}
-        for a, b, e in zip(*(x[d <= edits].tolist() for x in (i, j, d))):
-            x, y = sorted((s.reading[a], s.reading[b]))
-            if found.get((x, y), edits + 1) > e and _plausible(x, y, e):
-                found[x, y] = e
-        yield pd.DataFrame([(x, y, e) for (x, y), e in found.items()], columns=["x", "y", "edits"])
-
-
-def dealt(keyed: DataFrame, block: int) -> DataFrame:
-    """keyed(key, r) -> (members, queries): the strings of each key with two or more, for comparison among each other.
-
-    A key with more than `block` strings becomes blocks: each row holds one block and the queries of another, every block
-    meeting every other, so no row has more than about twice `block` strings. queries is null where members holds them all.
-    Keys travel as hashes: two that share one only cost comparisons. Strings are shuffled once, into enough partitions for
-    the comparing tasks; the table of keys to split is small (a row per `block` strings at most) and joined as Spark sees fit.
+    return " ".join(sorted(map(fold, core))), trade, given
+
+
+def orders(words: tuple[str, ...]) -> list[str]:
+    """The words written together in every order; of more than ORDERED words in the given one."""
+    return sorted({"".join(p) for p in permutations(words)}) if len(words) <= ORDERED else ["".join(words)]
+
+
+def least_edits(x: list[str], y: list[str], limit: int) -> np.ndarray:
+    """Edits between readings x[i] and y[i], written together in the orders of their words that suit best; limit + 1 for more.
+
+    All orders of both are read against each other where both have fewer than ORDERED words. Where one has more, the words
+    that both have are taken out, and all orders of the rest of one (if no more than ORDERED) are read against the rest of
+    the other as it stands.
     """
-    keyed = cut(keyed.select(F.xxhash64("key").alias("key"), "r"))
-    hot = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    tasks = max(12, 2 * keyed.sparkSession.sparkContext.defaultParallelism, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    small = keyed.join(hot, "key", "left_anti").repartition(tasks, "key").groupBy("key").agg(F.collect_list("r").alias("members")).where(F.size("members") > 1)
-    small = small.select("members", F.lit(None).cast("array<string>").alias("queries"))
-    if hot.isEmpty():
-        return small
-    large = keyed.join(hot, "key")
-    held = large.withColumn("b", F.pmod(F.xxhash64("r"), F.col("blocks"))).groupBy("key", "b").agg(F.collect_list("r").alias("members"))
-    asked = large.withColumn("q", F.pmod(F.xxhash64("r", F.lit("q")), F.col("blocks"))).groupBy("key", "q").agg(F.collect_list("r").alias("queries"))
-    return small.unionByName(held.join(asked, "key").select("members", "queries").repartition(tasks))
-
-
-def trie_join(distinct: DataFrame, column: str, edits: int = EDITS, block: int = BLOCK) -> DataFrame:
-    """(x, y, edits), x < y: all readings at most `edits` (up to EDITS) apart, as joined strings in either order of the two names.
-
-    Three edits that lie in one of two names are left out (_plausible). Strings are dealt to shards by keys (shard_keys), a shard
-    is one row of strings; a shard of more than `block` strings becomes blocks that all meet each other.
+    split = {r: tuple(r.split(" ")) for r in {*x, *y}}
+    known: dict[str, int] = {}
+    number = lambda texts: [known.setdefault(t, len(known)) for t in texts]
+    every = {r: number(orders(w)) if len(w) < ORDERED else None for r, w in split.items()}
+    at: list[int] = []
+    left: list[int] = []
+    right: list[int] = []
+    for i, (a, b) in enumerate(zip(x, y)):
+        xs, ys = every[a], every[b]
+        if xs is None or ys is None:
+            p, q = Counter(split[a]), Counter(split[b])
+            short, other = sorted((tuple(sorted((p - q).elements())), tuple(sorted((q - p).elements()))), key=len)
+            xs, ys = number(orders(other if len(other) <= ORDERED else short)), number(["".join(short if len(other) <= ORDERED else other)])
+        for s in xs:
+            at += [i] * len(ys)
+            left += [s] * len(ys)
+            right += ys
+    out = np.full(len(x), limit + 1)
+    np.minimum.at(out, np.array(at, dtype=np.int64), near_many(list(known), np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), limit))
+    return out
+
+
+def letter_join(readings: DataFrame, letters: int = LETTERS, block: int = BLOCK) -> DataFrame:
+    """readings(rid long, reading) -> (x, y), x < y: pairs of rid whose letters differ by at most `letters` on either side.
+
+    The candidates of the fuzzy join, complete whatever the order and the cut of the words: two spellings within `letters`
+    edits, however many swaps they have besides, share a shard of sharing(). Readings marked AS_WRITTEN have none.
     """
-    if edits > EDITS:
-        raise ValueError(f"shard_keys covers {EDITS} edits")
-    keyed = distinct.select(F.col(f"`{column}`").alias("r")).where("r <> ''").mapInPandas(
-        lambda it: (pd.DataFrame([x for r in p["r"] for x in shard_keys(r)], columns=["key", "r"]) for p in it), "key string, r string"
-    )
-    return dealt(keyed, block).mapInPandas(lambda it: _join(it, edits), "x string, y string, edits int").groupBy("x", "y").agg(F.min("edits").alias("edits"))
+    keyed = readings.where(~F.col("reading").startswith(AS_WRITTEN)).select(F.col("rid").alias("id"), F.replace("reading", F.lit(" "), F.lit("")).alias("text"))
+    return sharing(keyed, lambda texts: letter_keys(texts, letters), block=block)
 
 
 def parse_names(rows: DataFrame, name: str) -> DataFrame:
-    """(name, reading, trade, given) for every way to read each distinct non-blank text of rows[name].
+    """(nid, name, reading, trade, given) for each distinct non-blank text of rows[name].
 
     A word is a town when it stands at "of", here or in any other name: gathered over all names, joined by word.
     """
@@ -406,67 +218,83 @@ def parse_names(rows: DataFrame, name: str) -> DataFrame:
         for p in batches:
             got = [split_name(x) for x in p["name"]]
             yield pd.DataFrame({
-                "name": p["name"], "trade": [g["trade"] for g in got], "given": [g["given"] for g in got], "words": [g["words"] for g in got],
-                "marked": [[i in g["towns"] for i in range(len(g["words"]))] for g in got],
+                "name": p["name"], "trade": [g["trade"] for g in got], "given": [g["given"] for g in got], "words": [g["words"] for g in got], "towns": [g["towns"] for g in got],
             })
 
-    parsed = cut(texts.mapInPandas(parse, "name string, trade string, given string, words array<string>, marked array<boolean>"))
-    each = parsed.select("name", F.posexplode(F.arrays_zip("words", "marked")).alias("pos", "w")).select("name", "pos", F.col("w.words").alias("word"), F.col("w.marked").alias("marked"))
-    towns = each.where("marked").groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word", F.lit(True).alias("town"))
-    marked = each.join(towns, "word", "left").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", "word", (F.coalesce("town", F.lit(False)) | F.col("marked")).alias("town")))).alias("w"))
-    full = parsed.select("name", "trade", "given").join(marked, "name", "left")
+    parsed = cut(texts.mapInPandas(parse, "name string, trade string, given string, words array<string>, towns array<int>").withColumn("nid", F.monotonically_increasing_id()))
+    towns = parsed.where(F.size("towns") > 0).select(F.explode(F.transform("towns", lambda i: F.get("words", i))).alias("word")).distinct()
+    each = parsed.select("nid", F.posexplode("words").alias("pos", "word"))
+    marked = each.join(towns, "word", "left_semi").groupBy("nid").agg(F.collect_set("pos").alias("elsewhere"))
 
     def read(batches):
         for p in batches:
             out = []
-            for n, t, g, w in zip(p["name"], p["trade"], p["given"], p["w"]):
-                w = [] if w is None else list(w)
-                found, trade, given = readings([x["word"] for x in w], [x["town"] for x in w])
-                out += [(n, r, t or trade, g or given) for r in found or [AS_WRITTEN + (plain(n) or n)]]
-            yield pd.DataFrame(out, columns=["name", "reading", "trade", "given"])
+            for nid, n, t, g, words, own, others in zip(p["nid"], p["name"], p["trade"], p["given"], p["words"], p["towns"], p["elsewhere"]):
+                at = {*own, *(() if others is None else others)}
+                found, trade, given = reading(list(words), [i in at for i in range(len(words))])
+                out.append((nid, n, found or AS_WRITTEN + (plain(n) or n), t or trade, g or given))
+            yield pd.DataFrame(out, columns=["nid", "name", "reading", "trade", "given"])
 
-    return full.mapInPandas(read, "name string, reading string, trade string, given string")
+    return cut(parsed.join(marked, "nid", "left").mapInPandas(read, "nid long, name string, reading string, trade string, given string"))
 
 
-def _given_clash(a, b):
-    """True when both sides have given names and none of one fits any of the other (an initial fits names that begin so)."""
-    fits = F.exists(a, lambda x: F.exists(b, lambda y: (x == y) | ((F.length(x) == 1) & y.startswith(x)) | ((F.length(y) == 1) & x.startswith(y))))
-    return (F.size(a) > 0) & (F.size(b) > 0) & ~fits
+def given_fit(a: str, b: str) -> bool:
+    """Whether one of the given names of a fits one of b's (an initial fits names that begin so), or one side has none."""
+    return not a or not b or any(x == y or len(x) == 1 and y[0] == x or len(y) == 1 and x[0] == y for x in a.split("|") for y in b.split("|"))
 
 
-def name_groups(rows: DataFrame, name: str, edits: int = EDITS, parsed: DataFrame | None = None) -> DataFrame:
-    """(name, group_id) for each distinct non-blank text of rows[name]: spellings of one organisation share group_id.
-
-    Names are parsed (parse_names), their family names joined by trie_join in any order, and links kept where trade and, from
-    two edits on, given name don't contradict; a name without a trade joins others only where one trade is in question.
-    Links go through connected components, so a spelling that is far from another is reached over those between.
-    parsed: the written result of parse_names for the same rows, where the caller has it.
+def _plausible(x: str, y: str, e: int) -> bool:
+    """Of three edits two at most lie in one of two words; a single word has two at most, one under six letters."""
+    a, b = x.split(" "), y.split(" ")
+    if len(a) == 1 or len(b) == 1:
+        return e <= (1 if min(len(x.replace(" ", "")), len(y.replace(" ", ""))) < 6 else 2)
+    if e <= 2 or len(a) != 2 or len(b) != 2:
+        return True
+    return min(max(near(a[0], b[0], 2), near(a[1], b[1], 2)), max(near(a[0], b[1], 2), near(a[1], b[0], 2))) <= 2
+
+
+def _links(batches, limit: int):
+    """Edges between the vertices (reading, trade) of pairs of readings that are spellings of one name."""
+    for p in batches:
+        edits = least_edits(list(p["x_reading"]), list(p["y_reading"]), limit)
+        out: set[tuple[int, int]] = set()
+        for i in np.flatnonzero(edits <= limit):
+            row, e = p.iloc[i], edits[i]
+            if not _plausible(row["x_reading"], row["y_reading"], e) or e > 1 and not given_fit(row["x_given"], row["y_given"]):
+                continue
+            x, y = (dict(zip(row[s + "_trades"], row[s + "_vids"])) for s in "xy")
+            common = [t for t in x if t and t in y]
+            if e > 2 and not common:  # three edits need as much to say that it is the same
+                continue
+            out |= {(x[t], y[t]) for t in common}
+            if len({*x, *y} - {""}) <= 1:  # one trade in question: a name without a trade may be it
+                out |= {(v, w) for v in x.values() for w in y.values()}
+        yield pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
+
+
+def name_groups(rows: DataFrame, name: str) -> DataFrame:
+    """(name, organisation, words) for each distinct non-blank text of rows[name]: spellings of one organisation share a number.
+
+    Names are parsed (parse_names). A vertex is a reading with a trade; readings are joined by letter_join and compared in any
+    order of their words, and vertices linked where the trade is the same or in question only once and, from two edits on,
+    given names don't contradict. Links go through connected components, so a spelling that is far from another is reached
+    over those between. Only longs are shuffled but for the joins that bring texts to vertices.
     """
-    parsed = cut(parse_names(rows, name)) if parsed is None else parsed
-    facts = cut(
-        parsed.groupBy("reading").agg(
-            F.array_remove(F.collect_set("trade"), "").alias("trades"),
-            F.array_distinct(F.flatten(F.collect_set(F.split("given", r"\|")))).alias("given"),
-        ).withColumn("given", F.array_remove("given", ""))
+    parsed = parse_names(rows, name)
+    vertices = cut(parsed.groupBy("reading", "trade").agg(F.collect_set(F.when(F.col("given") != "", F.col("given"))).alias("given")).withColumn("vid", F.monotonically_increasing_id()))
+    of = vertices.groupBy("reading").agg(
+        F.collect_list("trade").alias("trades"), F.collect_list("vid").alias("vids"), F.array_join(F.array_distinct(F.flatten(F.collect_list("given"))), "|").alias("given"),
     )
-    links = cut(trie_join(facts, "reading", edits))
-    vertex = lambda r, t: F.concat(F.lit("v:"), t, F.lit(":"), r)
-    side = lambda s, c: facts.select(F.col("reading").alias(c), F.col("trades").alias("trades_" + s), F.col("given").alias("given_" + s))
-    pairs = links.join(side("x", "x"), "x").join(side("y", "y"), "y").where(
-        (F.col("edits") <= 1) | ~_given_clash(F.col("given_x"), F.col("given_y"))
-    ).withColumn("both", F.array_union("trades_x", "trades_y"))
-    # one name alone: two edits as in _plausible, one under six letters
-    letters = F.least(*[F.length(F.replace(c, F.lit(" "), F.lit(""))) for c in ("x", "y")])
-    pairs = pairs.where(F.col("x").contains(" ") & F.col("y").contains(" ") | (F.col("edits") <= F.when(letters < 6, 1).otherwise(2)))
-    # three edits need as much to say that it is the same: one trade that both have
-    pairs = pairs.where((F.col("edits") <= 2) | (F.size(F.array_intersect("trades_x", "trades_y")) > 0))
-    same = pairs.select(F.explode(F.array_intersect("trades_x", "trades_y")).alias("t"), "x", "y").select(vertex("x", F.col("t")).alias("a"), vertex("y", F.col("t")).alias("b"))
-    open_ = pairs.where(F.size("both") <= 1).select("x", "y", F.explode(F.array_union("both", F.array(F.lit("")))).alias("t"))
-    loose = open_.select(vertex("x", F.lit("")).alias("a"), vertex("y", F.col("t")).alias("b")).union(open_.select(vertex("x", F.col("t")).alias("a"), vertex("y", F.lit("")).alias("b")))
-    within = facts.where(F.size("trades") == 1).select(vertex("reading", F.lit("")).alias("a"), vertex("reading", F.col("trades")[0]).alias("b"))
-    hubs = parsed.select(F.concat(F.lit("n:"), "name").alias("a"), vertex("reading", F.col("trade")).alias("b"))
-    groups = connected_components(hubs.union(same).union(loose).union(within), "a", "b")
-    return groups.where(F.col("entity_id").startswith("n:")).select(F.substring("entity_id", 3, 1 << 30).alias("name"), "group_id")
+    of = cut(of.withColumn("rid", F.monotonically_increasing_id()))
+    pairs = letter_join(of.select("rid", "reading"))
+    side = lambda s: of.select(F.col("rid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("reading", "trades", "vids", "given")])
+    links = pairs.join(side("x"), "x").join(side("y"), "y").drop("x", "y").mapInPandas(lambda it: _links(it, EDITS), "u long, v long")
+    nontrivial = F.filter("trades", lambda t: t != "")
+    own = of.where((F.size("trades") == 2) & (F.size(nontrivial) == 1)).select(F.col("vids")[0].alias("u"), F.col("vids")[1].alias("v"))
+    groups = contract(links.union(own))
+    placed = vertices.join(groups.withColumnRenamed("id", "vid"), "vid", "left").select("reading", "trade", F.coalesce("group_id", "vid").alias("organisation"))
+    words = F.when(~F.col("reading").startswith(AS_WRITTEN), F.split("reading", " "))
+    return cut(parsed.join(placed, ["reading", "trade"]).select("name", "organisation", F.coalesce(words, F.array().cast("array<string>")).alias("words")))
 
 
 def same_organisation(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -475,7 +303,6 @@ def same_organisation(rows: DataFrame, key: str, name: str) -> DataFrame:
     A key with several rows has the names of all. Names that hold nothing but legal form, trade or town are compared as
     written. An empty table gives none; other columns are not read.
     """
-    groups = name_groups(rows, name)
+    groups = name_groups(rows, name).select("name", "organisation")
     named = rows.select(F.col(f"`{key}`").alias("id"), F.col(f"`{name}`").cast("string").alias("name")).where("id IS NOT NULL AND name IS NOT NULL")
-    ids = cut(named.join(groups, "name").select("id", "group_id").distinct())
-    return ids.toDF("a", "group_id").join(ids.toDF("b", "group_id"), "group_id").where("a < b").select("a", "b").distinct()
+    return pairs_within(named.join(groups, "name").select("id", "organisation"), "id", "organisation")

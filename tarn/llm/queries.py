@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.addresses import same_location
-from tarn.llm.components import connected_components
+from tarn.llm.components import connected_components, pairs_within
 from tarn.llm.leaks import find_leaks
 from tarn.llm.lookalike import form_classes, form_sql, look_alike_pairs
 from tarn.llm.matching import match_entities
@@ -31,9 +31,9 @@ def _splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    dealt = _splits(spark, d).select("split", "group_id", "entity_id")
-    a, b = dealt.withColumnRenamed("entity_id", "source1_entity_id_a"), dealt.withColumnRenamed("entity_id", "source1_entity_id_b")
-    return a.join(b, ["split", "group_id"]).where("source1_entity_id_a < source1_entity_id_b").select("source1_entity_id_a", "source1_entity_id_b")
+    """Pairs of one split and group, as the operator dealt them."""
+    dealt = _splits(spark, d).select("entity_id", F.concat_ws("|", "split", "group_id").alias("kept"))
+    return pairs_within(dealt, "entity_id", "kept").toDF("source1_entity_id_a", "source1_entity_id_b")
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
