@@ -72,21 +72,21 @@ def expand_abbreviations(c: Column, table: dict[str, str]) -> Column:
 
 
 def normalize_name(c: Column, exact: bool = False) -> Column:
-    return expand_abbreviations(normalize_text(c, exact), W.pairs(W.NAME_ABBREVIATIONS))
+    return expand_abbreviations(normalize_text(c, exact), W.NAME_ABBREVIATIONS)
 
 
 def normalize_address(c: Column, exact: bool = False) -> Column:
-    return expand_abbreviations(normalize_text(c, exact), W.pairs(W.ADDRESS_ABBREVIATIONS))
+    return expand_abbreviations(normalize_text(c, exact), W.ADDRESS_ABBREVIATIONS)
 
 
 def normalize_v1(c: Column) -> Column:
     """First generation: one dictionary for names and addresses."""
-    return expand_abbreviations(normalize_text(c), W.pairs(W.V1_ABBREVIATIONS))
+    return expand_abbreviations(normalize_text(c), W.V1_ABBREVIATIONS)
 
 
 def normalize_key(c: Column) -> Column:
     """Key-only matcher: its own small dictionary."""
-    return expand_abbreviations(normalize_text(c), W.pairs(W.KEY_ABBREVIATIONS))
+    return expand_abbreviations(normalize_text(c), W.KEY_ABBREVIATIONS)
 
 
 def normalize_plain(c: Column) -> Column:
@@ -99,6 +99,11 @@ def normalize_experiment(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\p{L}\p{N}_\s]", " "), r"(?U)\s+", " "))
 
 
+def normalize_diagnostic(c: Column, table: dict[str, str]) -> Column:
+    """Diagnostics with their own dictionaries: composed, then decomposed compatibly, which gives the same as decomposing once."""
+    return expand_abbreviations(normalize_text(c), table)
+
+
 def extract_postal(c: Column, digits: tuple[int, int] = (5, 5), last: bool = False) -> Column:
     """First (or last) run of the given number of digits in the raw address, with or without four more; "" when none."""
     low, high = digits

@@ -91,6 +91,25 @@ def rank_hits(hits: DataFrame, cap: int, reserve: int = ADDRESS_RESERVE) -> Data
     return ranked.select("s1_id", "cand_id", rank.cast("int").alias("rank")).where(F.col("rank") <= cap)
 
 
+def kept_at(hits: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
+    """(s1_id, cand_id, kept array<boolean>): for each (cap, reserve) of settings, whether rank_hits() would keep the pair.
+
+    One shuffle by record and two sorts for all settings: the base order is the same for every cap, and a late pair's place
+    under a cap is a running count in the order of the reserve.
+    """
+    per = hits.repartition("s1_id").groupBy("s1_id", "cand_id", "src").agg(F.min(F.when(F.col("tag") != RESERVE_TAG, F.col("prio"))).alias("o"), F.max(F.col("tag") == RESERVE_TAG).alias("in_reserve"))
+    w = Window.partitionBy("s1_id")
+    ranked = per.withColumn("r", F.when(F.col("o").isNotNull(), F.row_number().over(w.orderBy(F.col("o").asc_nulls_last(), "src", "cand_id")))).withColumn("n", F.count("o").over(w))
+    late, kept = w.orderBy("src", "cand_id").rowsBetween(Window.unboundedPreceding, 0), []
+    for cap, reserve in settings:
+        base_cap = max(0, cap - min(reserve, max(0, cap)))
+        base = F.coalesce(F.col("r") <= base_cap, F.lit(False))
+        waits = ~base & F.col("in_reserve")
+        place = F.sum(waits.cast("int")).over(late) + F.least("n", F.lit(base_cap))
+        kept.append(base | waits & (place <= cap))
+    return ranked.select("s1_id", "cand_id", F.array(*kept).alias("kept"))
+
+
 def candidates_v1(s1: DataFrame, targets: DataFrame, cap: int = 200) -> DataFrame:
     """First generation: three keys, whole blocks, the first `cap` ids in id order (the order was left open there)."""
     wanted = key_table(s1, V1_KEYS)

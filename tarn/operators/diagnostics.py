@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
+from tarn.functions import words as W
 
 #: tag -> column. These keys come from text that is only lower-cased and spaced.
 DIAGNOSTIC_KEYS = {
@@ -36,3 +37,31 @@ def diagnostic_recall(true: DataFrame, s1: DataFrame, targets: DataFrame) -> Dat
     counts = pairs.agg(F.count(F.lit(1)).alias("n_pairs"), *[F.count_if(h).alias(t) for t, h in [*hit.items(), ("union", any_)]])
     out = counts.select("n_pairs", F.explode(F.map_from_arrays(F.array(*[F.lit(t) for t in [*hit, "union"]]), F.array(*[F.col(t) for t in [*hit, "union"]]))).alias("tag", "pairs_found"))
     return out.select("tag", "pairs_found", "n_pairs", F.coalesce(F.try_divide("pairs_found", "n_pairs"), F.lit(0.0)).alias("recall"))
+
+
+def prepared_keys(rows: DataFrame) -> DataFrame:
+    """(entity_id, country_l, <the keys of KEYS but the house-number one>) by the diagnostic's own dictionaries; a null country is ""."""
+    name, addr = (F.col(c) for c in ("n", "a"))
+    base = rows.select(
+        "entity_id", "src", F.coalesce(F.lower(F.regexp_replace("country", r"(?U)^\s+|\s+$", "")), F.lit("")).alias("country_l"),
+        T.normalize_diagnostic(F.col("business_name"), W.DIAGNOSTIC_NAME_ABBREVIATIONS).alias("n"), T.normalize_diagnostic(F.col("business_address"), W.DIAGNOSTIC_ADDRESS_ABBREVIATIONS).alias("a"),
+        T.extract_postal(F.col("business_address")).alias("postal"),
+    )
+    return base.select(
+        "entity_id", "src", "country_l", F.substring("postal", 1, 3).alias("postal3"), T.sorted_tokens(name).alias("sorted_tokens"), T.core_tokens(name).alias("core_tokens"), T.first_token(name).alias("first_token"),
+        F.substring(name, 1, 3).alias("first3"), T.street_number(addr).alias("street_num"),
+    )
+
+
+def experiment_keys(rows: DataFrame) -> DataFrame:
+    """(entity_id, country_l, <the keys of KEYS>) of the reserve experiment: accents stay, no abbreviation is written out, the
+    postal code is the last run of five digits, and the house-number key comes from the address as typed."""
+    name, addr = F.col("n"), F.col("a")
+    base = rows.select(
+        "entity_id", "src", "country_l", T.normalize_experiment(F.col("business_name")).alias("n"), T.normalize_experiment(F.col("business_address")).alias("a"),
+        F.coalesce("business_address", F.lit("")).alias("raw"), T.extract_postal(F.col("business_address"), (5, 5), last=True).alias("postal"),
+    )
+    return base.select(
+        "entity_id", "src", "country_l", F.substring("postal", 1, 3).alias("postal3"), T.sorted_tokens(name).alias("sorted_tokens"), T.core_tokens(name).alias("core_tokens"), T.first_token(name).alias("first_token"),
+        F.substring(name, 1, 3).alias("first3"), T.street_number(addr).alias("street_num"), T.number_and_token(F.col("raw")).alias("addr_num_token4"),
+    )

@@ -48,16 +48,28 @@ def key_recall(true: DataFrame, s1_keys: DataFrame, target_keys: DataFrame) -> D
     return both.groupBy("tag").agg(F.count(F.lit(1)).alias("pairs_found")).join(F.broadcast(n), how="cross").withColumn("recall", F.col("pairs_found") / F.col("n_pairs"))
 
 
-def recall_at_caps(hits: DataFrame, true: DataFrame, entities: DataFrame, caps: list[int], rank) -> DataFrame:
-    """(cap, pairs_found, n_pairs, recall, mean_candidates) for each cap; rank(hits, cap) gives the ranked candidates."""
-    out = None
+def recall_at_settings(kept: DataFrame, true: DataFrame, entities: DataFrame, settings: int) -> DataFrame:
+    """(setting, pairs_found, n_pairs, recall, entities_hit, n_entities, entity_recall, mean_candidates) for each place of the
+    array in kept(s1_id, cand_id, kept array<boolean>). Recall is over the true pairs and the entities that have one; the mean
+    over all of `entities`. One pass over kept and one join with the true pairs, whatever the number of settings."""
+    spark = kept.sparkSession
+    each = spark.range(settings).select(F.col("id").cast("int").alias("setting"))
+    at = lambda i: F.try_element_at("kept", F.lit(i + 1))
+    sizes = kept.agg(F.array(*[F.count_if(at(i)) for i in range(settings)]).alias("sizes"))
     n = entities.select("s1_id").distinct().agg(F.count(F.lit(1)).alias("n"))
-    for cap in caps:
-        got = rank(hits, cap)
-        size = got.agg(F.count(F.lit(1)).alias("total")).join(n, how="cross").select((F.col("total") / F.col("n")).alias("mean_candidates"))
-        row = recall(got, true).select(F.lit(cap).alias("cap"), "pairs_found", "n_pairs", F.col("pair_recall").alias("recall")).join(size, how="cross")
-        out = row if out is None else out.union(row)
-    return out
+    hit = true.select("s1_id", "cand_id").distinct().join(kept, ["s1_id", "cand_id"], "left")
+    per = hit.groupBy("s1_id").agg(F.count(F.lit(1)).alias("pairs"), *[F.count_if(F.coalesce(at(i), F.lit(False))).alias(f"f{i}") for i in range(settings)])
+    total = per.agg(
+        F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"), F.count(F.lit(1)).alias("n_entities"), F.array(*[F.coalesce(F.sum(f"f{i}"), F.lit(0)) for i in range(settings)]).alias("found"),
+        F.array(*[F.count_if(F.col(f"f{i}") > 0) for i in range(settings)]).alias("hit"),
+    )
+    rows = each.join(F.broadcast(total), how="cross").join(F.broadcast(sizes), how="cross").join(F.broadcast(n), how="cross")
+    pick = lambda c: F.element_at(c, F.col("setting") + 1)
+    rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return rows.select(
+        "setting", pick("found").alias("pairs_found"), "n_pairs", rate(pick("found"), F.col("n_pairs")).alias("recall"), pick("hit").alias("entities_hit"), "n_entities",
+        rate(pick("hit"), F.col("n_entities")).alias("entity_recall"), rate(pick("sizes"), F.col("n")).alias("mean_candidates"),
+    )
 
 
 def candidate_stats(ranked: DataFrame, entities: DataFrame) -> DataFrame:
@@ -98,6 +110,13 @@ def missed(pred: DataFrame, true: DataFrame, limit: int = 20) -> DataFrame:
     return true.join(pred.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti").orderBy("s1_id", "cand_id").limit(limit)
 
 
+def positive_rate(pairs: DataFrame) -> DataFrame:
+    """One row: n_pairs, n_positive and the share of pairs with label 1; 0.0 for none."""
+    out = pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("n_positive"))
+    return out.withColumn("positive_rate", F.coalesce(F.try_divide("n_positive", "n_pairs"), F.lit(0.0)))
+
+
 def first_per_entity(pairs: DataFrame, n: int) -> DataFrame:
+    """The first n pairs of each entity by rank, ties by id."""
     w = Window.partitionBy("s1_id").orderBy("rank", "cand_id")
     return pairs.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")

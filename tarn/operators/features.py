@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarn.functions import similarity as S
 from tarn.functions.text import strip_legal
 
+# The features of the models, by name and in their order.
 ATTRIBUTES = ["norm_name", "norm_addr", "country_l", "postal"]
 CHEAP = ["name_jaccard", "addr_jaccard", "country_match", "postal_match"]
 E11 = ["name_jaccard", "name_lev", "name_token_sort", "name_partial", "name_token_set", "addr_jaccard", "addr_lev", "addr_token_sort", "addr_partial", "country_match", "postal_match"]

@@ -20,7 +20,9 @@ def per_key(df: DataFrame, fields: list[str], partials: dict[str, Column] | None
     Map-side combining: each task folds its rows into a bounded hash table of mergeable states (Spark's partial hash
     aggregate, which spills to a sorted run when full), so that a key that holds a third of all rows reaches the shuffle as
     one row per map task. The source is scanned once, whatever the number of fields. `partials` may hold algebraic
-    aggregates only (count, sum, min, max, avg, ...), over columns of df; default: row_count = count(*).
+    aggregates only (count, sum, min, max, avg, ...), over columns of df; default: row_count = count(*). States of fixed width
+    (numbers, times, truth values) live in the hash table; with a min or max of strings among them Spark sorts a task's rows
+    by key first, still combining before the shuffle.
 
     Null and blank keys are no keys. An empty table gives no rows. Other columns of df, whatever their names, are not read
     unless a partial names them.

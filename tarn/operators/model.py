@@ -15,7 +15,7 @@ from tarn.operators.evaluate import best_threshold, threshold_sweep
 from tarn.operators.features import fill_missing
 
 
-def train(pairs: DataFrame, features: list[str], iterations: int = 200, boosted: bool = False) -> PipelineModel:
+def train(pairs: DataFrame, features: list[str], iterations: int = 200, boosted: bool = False, trees: int = 300) -> PipelineModel:
     """Balanced logistic regression on standardised features (or boosted trees), on pairs with a 0/1 label.
 
     Class weights are n / (2 * class size), the penalty that of unit inverse strength over the summed weights.
@@ -26,7 +26,7 @@ def train(pairs: DataFrame, features: list[str], iterations: int = 200, boosted:
     weighted = fill_missing(pairs, features).withColumn("weight", F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))))
     assemble = VectorAssembler(inputCols=features, outputCol="raw")
     if boosted:
-        return Pipeline(stages=[assemble, GBTClassifier(featuresCol="raw", labelCol="label", weightCol="weight", maxIter=300, stepSize=0.05, maxDepth=6, seed=42)]).fit(weighted)
+        return Pipeline(stages=[assemble, GBTClassifier(featuresCol="raw", labelCol="label", weightCol="weight", maxIter=trees, stepSize=0.05, maxDepth=6, seed=42)]).fit(weighted)
     scale = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)
     fit = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=iterations, regParam=1.0 / n, elasticNetParam=0.0, standardization=False)
     return Pipeline(stages=[assemble, scale, fit]).fit(weighted)

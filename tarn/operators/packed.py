@@ -102,12 +102,12 @@ def segment_fields(df: DataFrame, field: str, dictionary: DataFrame, value: str)
     return fields.join(hits, "fid", "left").mapInPandas(_segment, "field string, pieces array<struct<value:string,known:boolean>>")
 
 
-def split_packed(df: DataFrame, key: str, field: str, dictionary: DataFrame, value: str, known_only: bool = True) -> DataFrame:
+def split_packed(df: DataFrame, key: str, field: str, dictionary: DataFrame, value: str, known_only: bool = False) -> DataFrame:
     """(key, pos int, value, known): one row per value packed in df[field], positions from 1 in the order written.
 
     Rows that repeat a key count once: the one with most values, ties by the values' order. A value listed twice keeps both
-    positions; empty places have none. Null, blank and value-less fields give no row. known_only drops pieces that are not
-    in the dictionary before positions are given. Rows with a null key give nothing. Extra columns are ignored.
+    positions; empty places have none. Null, blank and value-less fields give no row. Pieces that the dictionary lacks are values
+    too (known is false); known_only drops them before positions are given. Rows with a null key give nothing. Extra columns are ignored.
     """
     cells = segment_fields(df, field, dictionary, value)
     pieces = F.filter("pieces", lambda p: p["known"]) if known_only else F.col("pieces")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADERS = {"matches": "source1_entity_id\tmatched_entity_ids", "candidates": "source1_entity_id\tcandidate_entity_ids"}
+#: Offenders named for each rule.
+EXAMPLES = 5
 LEVELS = {"no tab": "error", "duplicate row": "error", "repeated id": "error", "self match": "error", "wrong prefix": "error", "unknown id": "error", "missing row": "error", "extra row": "error", "not among candidates": "warning"}
 
 
@@ -27,14 +29,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def quality_report(output: DataFrame, required: DataFrame, known: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
-    """(rule, level, n): offenders of each rule in output(s1_id, ids array, broken); rules without one have no row.
+    """(rule, level, n, examples): offenders of each rule in output(s1_id, ids array, broken), and the EXAMPLES first of them in
+    order, joined by commas; rules without an offender have no row.
 
     required(s1_id): records that must have a row. known(entity_id): ids that exist, or None to skip the check.
     candidates(s1_id, cand_id): pairs that matches must be among, or None.
     """
     sound = output.where(~F.col("broken"))
     each = sound.select("s1_id", F.explode("ids").alias("id"))
-    counts = [
+    found = [
         ("no tab", output.where("broken").select("s1_id")),
         ("duplicate row", sound.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s1_id")),
         ("repeated id", sound.where(F.size("ids") > F.size(F.array_distinct("ids"))).select("s1_id")),
@@ -44,15 +47,19 @@ def quality_report(output: DataFrame, required: DataFrame, known: DataFrame | No
         ("extra row", sound.select("s1_id").distinct().join(required, "s1_id", "left_anti")),
     ]
     if known is not None:
-        counts.append(("unknown id", each.where(F.col("id").rlike("^S[23]-")).select("id").distinct().join(known.select(F.col("entity_id").alias("id")), "id", "left_anti").select(F.col("id").alias("s1_id"))))
+        found.append(("unknown id", each.where(F.col("id").rlike("^S[23]-")).select("id").distinct().join(known.select(F.col("entity_id").alias("id")), "id", "left_anti").select(F.col("id").alias("s1_id"))))
     if candidates is not None:
-        counts.append(("not among candidates", each.select("s1_id", F.col("id").alias("cand_id")).join(candidates.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti").select("s1_id").distinct()))
+        found.append(("not among candidates", each.select("s1_id", F.col("id").alias("cand_id")).join(candidates.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti").select("s1_id").distinct()))
     out = None
-    for rule, offenders in counts:
-        part = offenders.select(F.lit(rule).alias("rule"))
+    for rule, offenders in found:
+        part = offenders.select(F.lit(rule).alias("rule"), F.col("s1_id").alias("offender"))
         out = part if out is None else out.unionAll(part)
     levels = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])
-    return out.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.element_at(levels, F.col("rule")))
+    counts = out.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    # a rule's first offenders are found before the shuffle (window group limit), however many it has
+    first = out.distinct().withColumn("r", F.row_number().over(Window.partitionBy("rule").orderBy("offender"))).where(F.col("r") <= EXAMPLES)
+    examples = first.groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list("offender")), ",").alias("examples"))
+    return counts.join(examples, "rule").select("rule", F.element_at(levels, F.col("rule")).alias("level"), "n", "examples")
 
 
 def row_counts(output: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarn.functions import text as T
 from tarn.functions import words as W
 from tarn.operators import blocking as B
-from tarn.operators.diagnostics import DIAGNOSTIC_KEYS, diagnostic_recall as _diagnostic_recall
+from tarn.operators.diagnostics import DIAGNOSTIC_KEYS, diagnostic_recall as _diagnostic_recall, experiment_keys, prepared_keys
 from tarn.operators import entities as E
 from tarn.operators import evaluate as V
 from tarn.operators import features as X
@@ -23,7 +23,11 @@ from tarn.storage import cut
 CHEAP_MODEL, CHEAP_BIAS = {"name_jaccard": 6.0, "addr_jaccard": 4.0, "country_match": 0.5, "postal_match": 2.0}, -4.5
 FULL_MODEL, FULL_BIAS = CHEAP_MODEL | {"name_token_sort": 3.0, "name_partial": 1.5, "addr_partial": 1.0}, -8.0
 THRESHOLDS = [round(0.3 + 0.05 * i, 2) for i in range(13)]
-CAPS = [20, 50, 100]
+CAPS = [20, 50, 100, 200, 300, 500, 5000]
+#: Places and threshold of the second stage, which scores again what a candidate file lists first.
+FIRST, SECOND_THRESHOLD = 3, 0.8
+#: Least recall at which the check of the blocking passes.
+GATE = 0.8
 RESERVES = [0, 5, 10, 20, 30]
 
 
@@ -45,9 +49,14 @@ def _true_attached(spark: SparkSession, d: str) -> DataFrame:
     return X.attach(E.truth(spark, d), E.source(spark, d, 1), E.targets(spark, d))
 
 
+def _attached(spark: SparkSession, d: str, cap: int = 20) -> DataFrame:
+    """Candidates with both sides' attributes. The enriched tables are written once, as blocking and both sides read them."""
+    s1, t = (cut(x) for x in _keyed(spark, d))
+    return X.attach(B.candidates(s1, t, cap).withColumnRenamed("rank", "cand_rank"), s1, t)
+
+
 def _candidate_features(spark: SparkSession, d: str, names: list[str], cap: int = 20, guarded: bool = True) -> DataFrame:
-    pairs = _candidates(spark, d, cap).withColumnRenamed("rank", "cand_rank")
-    return X.with_features(X.attach(pairs, E.source(spark, d, 1), E.targets(spark, d)), names, guarded)
+    return X.with_features(_attached(spark, d, cap), names, guarded)
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -155,8 +164,7 @@ def match_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bound_pruned_match(spark: SparkSession, d: str) -> DataFrame:
-    attached = X.attach(_candidates(spark, d, 20), E.source(spark, d, 1), E.targets(spark, d))
-    return M.pruned_scores(attached, FULL_MODEL, FULL_BIAS, 0.5, X.EXPENSIVE).where("passes").select("s1_id", "cand_id")
+    return M.pruned_scores(_attached(spark, d), FULL_MODEL, FULL_BIAS, 0.5, X.EXPENSIVE).where("passes").select("s1_id", "cand_id")
 
 
 def ground_truth_long(spark: SparkSession, d: str) -> DataFrame:
@@ -173,18 +181,70 @@ def entity_and_pair_recall(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumns({c: F.round(c, 6) for c in ("entity_recall", "pair_recall")})
 
 
-def recall_at_caps(spark: SparkSession, d: str) -> DataFrame:
+def _sweep(spark: SparkSession, d: str, settings: list[tuple[int, int]]) -> DataFrame:
     s1 = E.source(spark, d, 1).select(F.col("entity_id").alias("s1_id"))
-    out = V.recall_at_caps(cut(_hits(spark, d)), E.truth(spark, d), s1, CAPS, B.rank_hits)
-    return out.withColumns({c: F.round(c, 6) for c in ("recall", "mean_candidates")})
+    out = V.recall_at_settings(cut(B.kept_at(_hits(spark, d), settings)), E.truth(spark, d), s1, len(settings))
+    values = F.array(*[F.struct(F.lit(c).alias("cap"), F.lit(r).alias("reserve")) for c, r in settings])
+    out = out.withColumn("s", F.element_at(values, F.col("setting") + 1)).withColumns({"cap": F.col("s.cap"), "reserve": F.col("s.reserve")})
+    return out.withColumns({c: F.round(c, 6) for c in ("recall", "entity_recall", "mean_candidates")})
+
+
+def recall_at_caps(spark: SparkSession, d: str) -> DataFrame:
+    return _sweep(spark, d, [(c, B.ADDRESS_RESERVE) for c in CAPS]).select("cap", "pairs_found", "n_pairs", "recall", "entities_hit", "n_entities", "entity_recall", "mean_candidates")
 
 
 def reserve_sweep(spark: SparkSession, d: str) -> DataFrame:
-    hits, true, out = cut(_hits(spark, d)), E.truth(spark, d), None
-    for r in RESERVES:
-        row = V.recall(B.rank_hits(hits, 100, r), true).select(F.lit(r).alias("reserve"), "entities_hit", "pairs_found")
-        out = row if out is None else out.union(row)
-    return out
+    return _sweep(spark, d, [(100, r) for r in RESERVES]).select("reserve", "entities_hit", "pairs_found")
+
+
+def blocking_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The check of the blocking: no record has more candidates than the cap, and recall of entities reaches the gate."""
+    ranked = cut(_candidates(spark, d, 100))
+    most = ranked.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most_candidates"))
+    out = V.recall(ranked, E.truth(spark, d)).join(most, how="cross").withColumn("cap_kept", F.col("most_candidates") <= 100)
+    return out.select("most_candidates", "cap_kept", "n_entities", "entities_hit", F.round("entity_recall", 6).alias("entity_recall"), (F.col("entity_recall") >= GATE).alias("passes"))
+
+
+def prepared_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of each of six keys and of any, by the diagnostic's own dictionaries."""
+    keys = tuple(k for k in B.KEYS if k.tag != B.RESERVE_TAG)
+    s1, t = (B.key_table(prepared_keys(x), keys) for x in (E.source(spark, d, 1), E.targets(spark, d)))
+    return V.key_recall(E.truth(spark, d), s1, t).withColumn("recall", F.round("recall", 6))
+
+
+def reserve_experiment(spark: SparkSession, d: str) -> DataFrame:
+    """The reserve sweep by the experiment's own normaliser and keys."""
+    s1, t = (B.key_table(experiment_keys(x)) for x in (E.source(spark, d, 1), E.targets(spark, d)))
+    kept = cut(B.kept_at(B.block_hits(s1, B.capped(B.query_index(s1, t))), [(100, r) for r in RESERVES]))
+    out = V.recall_at_settings(kept, E.truth(spark, d), E.source(spark, d, 1).select(F.col("entity_id").alias("s1_id")), len(RESERVES))
+    return out.select(F.element_at(F.array(*[F.lit(r) for r in RESERVES]), F.col("setting") + 1).alias("reserve"), "entities_hit", "pairs_found")
+
+
+def positive_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Of the candidates of labelled records, the share that is true."""
+    known = _candidates(spark, d, 20).join(E.labelled(spark, d), "s1_id", "left_semi")
+    true = E.truth(spark, d).withColumn("label", F.lit(1))
+    return V.positive_rate(known.join(true, ["s1_id", "cand_id"], "left").na.fill(0, ["label"])).withColumn("positive_rate", F.round("positive_rate", 6))
+
+
+def rescored_match(spark: SparkSession, d: str) -> DataFrame:
+    """Two stages: the first places of every record's candidate list are scored again by the model of 26 features, fitted on
+    labelled candidates; every source 1 record has a row."""
+    s1, t = (cut(x) for x in _keyed(spark, d))
+    listed = B.candidate_lists(s1, B.candidates(s1, t, 20))
+    ids = F.slice(F.filter(F.split("candidate_entity_ids", ","), lambda x: x != ""), 1, FIRST)
+    pairs = listed.select(F.col("source1_entity_id").alias("s1_id"), F.posexplode(ids).alias("cand_rank", "cand_id"))
+    first = cut(X.with_features(X.attach(pairs, s1, t), X.E26).select("s1_id", "cand_id", "cand_rank", *X.E26))
+    return M.match_lists(s1, M.top_matches(L.score(_fitted(spark, d, first, X.E26)[0], first, X.E26), SECOND_THRESHOLD))
+
+
+def _fitted(spark: SparkSession, d: str, pairs: DataFrame, features: list[str], **kind) -> tuple:
+    """(model, threshold) from the labelled records' pairs: fitted on four fifths, the threshold tuned on the rest."""
+    true = E.truth(spark, d).withColumn("label", F.lit(1))
+    known = pairs.join(E.labelled(spark, d), "s1_id", "left_semi").join(true, ["s1_id", "cand_id"], "left").na.fill(0, ["label"])
+    split = cut(P.stratified_split(known, "label", ["s1_id", "cand_id"]))
+    model = L.train(split.where(~F.col("is_validation")), features, **kind)
+    return model, L.tune(L.score(model, split.where("is_validation"), features))
 
 
 def candidate_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -259,13 +319,9 @@ def missed_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def train_and_score(spark: SparkSession, d: str) -> DataFrame:
     """Matches of every source 1 record, labelled or not; the model and its threshold come from the candidates of labelled ones."""
-    true = E.truth(spark, d).withColumn("label", F.lit(1))
-    pairs = cut(_candidate_features(spark, d, X.E11).select("s1_id", "cand_id", "cand_rank", *X.E11))
-    known = pairs.join(E.labelled(spark, d), "s1_id", "left_semi").join(true, ["s1_id", "cand_id"], "left").na.fill(0, ["label"])
-    split = cut(P.stratified_split(known, "label", ["s1_id", "cand_id"]))
-    model = L.train(split.where(~F.col("is_validation")), X.E11)
-    held = L.score(model, split.where("is_validation"), X.E11)
-    return M.top_matches(L.score(model, pairs, X.E11), L.tune(held))
+    pairs = cut(_candidate_features(spark, d, X.E11, guarded=False).select("s1_id", "cand_id", "cand_rank", *X.E11))
+    model, threshold = _fitted(spark, d, pairs, X.E11)
+    return M.top_matches(L.score(model, pairs, X.E11), threshold)
 
 
 QUERIES = {
@@ -275,7 +331,7 @@ QUERIES = {
         candidates_v1, candidates_tiered_v2, candidate_lists, token_features, edit_features, feature_vectors_11, feature_vectors_13, feature_vectors_26, tiered_match,
         linear_score_topk, match_lists, bound_pruned_match, ground_truth_long, block_recall, entity_and_pair_recall, recall_at_caps, reserve_sweep, candidate_stats,
         threshold_sweep, best_threshold, entity_f05, macro_f05, quality_report, output_row_counts, exact_sample, truth_preserving_sample, stratified_split, pair_inspection,
-        diagnostic_recall, missed_pairs, train_and_score,
+        diagnostic_recall, missed_pairs, train_and_score, blocking_gate, prepared_recall, reserve_experiment, positive_rate, rescored_match,
     )
 }
 
@@ -283,8 +339,7 @@ QUERIES = {
 # --- the same in SQL -------------------------------------------------------------------------------------------------
 
 
-def _map(text: str) -> str:
-    t = W.pairs(text)
+def _map(t: dict[str, str]) -> str:
     return f"MAP {{{', '.join(f'{chr(39)}{k}{chr(39)}: {chr(39)}{v}{chr(39)}' for k, v in t.items())}}}"
 
 
@@ -301,7 +356,7 @@ def _tokens(c: str) -> str:
     return f"list_filter(string_split({c}, ' '), lambda x: x <> '')"
 
 
-def _expand(c: str, table_: str) -> str:
+def _expand(c: str, table_: dict[str, str]) -> str:
     return f"array_to_string(list_transform({_tokens(_text(c))}, lambda x: coalesce({_map(table_)}[x], x)), ' ')"
 
 
@@ -310,12 +365,20 @@ _ONE = """
 raw AS (SELECT 'S1' AS src, * FROM train_source1 UNION ALL SELECT 'S2', * FROM train_source2 UNION ALL SELECT 'S3', * FROM train_source3),
 one AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY business_name NULLS FIRST, business_address NULLS FIRST, country NULLS FIRST) = 1)
 """
-_ENT = f"""{_ONE},
-ent AS (SELECT src, entity_id, business_name, {_expand('business_name', W.NAME_ABBREVIATIONS)} AS norm_name, {_expand('business_address', W.ADDRESS_ABBREVIATIONS)} AS norm_addr,
-  regexp_extract(coalesce(business_address, ''), {_POSTAL}, 1) AS postal, coalesce(lower(regexp_replace(country, '^\\s+|\\s+$', '', 'g')), 'nan') AS country_l FROM one)
+_POSTAL_OF = f"regexp_extract(coalesce(business_address, ''), {_POSTAL}, 1)"
+
+
+def _entities(name: str, addr: str, postal: str = _POSTAL_OF, null: str = "nan") -> str:
+    """ent: the normalised records."""
+    return f"""{_ONE},
+ent AS (SELECT src, entity_id, business_name, business_address, {name} AS norm_name, {addr} AS norm_addr, {postal} AS postal, coalesce(lower(regexp_replace(country, '^\\s+|\\s+$', '', 'g')), '{null}') AS country_l FROM one)
 """
-_LONG = f"""{_ENT},
-tok AS (SELECT *, {_tokens('norm_name')} AS nt, regexp_extract_all(lower(norm_addr), '\\d+[a-zA-Z]?|[a-zA-Z]+') AS adt FROM ent),
+
+
+def _keys(ent: str, house: str = "norm_addr") -> str:
+    """K: the long key table over the entities; `house` is what the house-number key comes from."""
+    return f"""{ent},
+tok AS (SELECT *, {_tokens('norm_name')} AS nt, regexp_extract_all(lower({house}), '\\d+[a-zA-Z]?|[a-zA-Z]+') AS adt FROM ent),
 num AS (SELECT *, list_position(list_transform(adt, lambda x: regexp_full_match(x, '\\d{{2,}}[a-zA-Z]?')), true) AS house FROM tok),
 tel AS (SELECT *, list_filter(adt[house + 1:house + 4], lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND NOT list_contains({_list(W.GENERIC)}, x)) AS telling FROM num),
 keyed AS (SELECT *, substring(postal, 1, 3) AS postal3, coalesce(nt[1], '') AS first_token, substring(norm_name, 1, 3) AS first3, substring(norm_name, 1, 2) AS first2,
@@ -327,8 +390,18 @@ K AS (SELECT src, entity_id, country_l, tag, value, prio FROM (
   UNION ALL SELECT src, entity_id, country_l, 'f', first3, 4, 1 FROM keyed UNION ALL SELECT src, entity_id, country_l, 'n', street_num, 5, 3 FROM keyed
   UNION ALL SELECT src, entity_id, country_l, 'h', addr_num_token4, 6, 3 FROM keyed) WHERE length(value) >= least)
 """
+
+
+_ENT = _entities(_expand("business_name", W.NAME_ABBREVIATIONS), _expand("business_address", W.ADDRESS_ABBREVIATIONS))
+_LONG = _keys(_ENT)
+_LONG_DIAGNOSTIC = _keys(_entities(_expand("business_name", W.DIAGNOSTIC_NAME_ABBREVIATIONS), _expand("business_address", W.DIAGNOSTIC_ADDRESS_ABBREVIATIONS), null=""))
+_LONG_EXPERIMENT = _keys(_entities(_text("business_name", False), _text("business_address", False), "coalesce(regexp_extract_all(business_address, '\\b(\\d{5})\\b', 1)[-1], '')"), "coalesce(business_address, '')")
 _TRUTH = "truth AS (SELECT DISTINCT source1_entity_id AS s1_id, unnest(regexp_extract_all(matched_entity_ids, 'S[23]-[0-9]{9}')) AS cand_id FROM train_matches), labelled AS (SELECT DISTINCT source1_entity_id AS s1_id FROM train_matches)"
-_HITS = f"""{_LONG}, {_TRUTH},
+
+
+def _blocked(long: str) -> str:
+    """j: the blocking join over K."""
+    return f"""{long}, {_TRUTH},
 q AS (SELECT * FROM K WHERE src = 'S1'),
 t AS (SELECT * FROM K SEMI JOIN q USING (country_l, tag, value) WHERE src <> 'S1'),
 tc AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY src, country_l, tag, value ORDER BY entity_id) <= 100),
@@ -336,6 +409,9 @@ j AS (SELECT q.entity_id AS s1_id, tc.entity_id AS cand_id, tc.tag, tc.prio, tc.
 """
 
 
+_HITS, _HITS_EXPERIMENT = _blocked(_LONG), _blocked(_LONG_EXPERIMENT)
+
+
 def _ranked(cap: int, reserve: int = 5, name: str = "c") -> str:
     base = max(0, cap - min(reserve, cap))
     return f"""
@@ -414,10 +490,13 @@ sw AS (SELECT threshold, tp, fp, fn, tn, round(precision, 6) AS precision, round
 """
 
 
-def _recall_rows(caps: list[tuple[int, int]], what: str) -> str:
+_RESERVE_ROW = "SELECT {reserve} AS reserve, count(DISTINCT CASE WHEN x.cand_id IS NOT NULL THEN s1_id END) AS entities_hit, count(x.cand_id)::BIGINT AS pairs_found FROM truth LEFT JOIN {name} x USING (s1_id, cand_id)"
+
+
+def _recall_rows(caps: list[tuple[int, int]], what: str, hits: str = "") -> str:
     parts = [_ranked(c, r, f"c{c}x{r}x") for c, r in caps]
     rows = [what.format(name=f"c{c}x{r}x", cap=c, reserve=r) for c, r in caps]
-    return f"WITH {_HITS}, {', '.join(parts)} " + " UNION ALL ".join(rows)
+    return f"WITH {hits or _HITS}, {', '.join(parts)} " + " UNION ALL ".join(rows)
 
 
 _KEYNAME = _expand("business_name", W.KEY_ABBREVIATIONS)
@@ -431,7 +510,7 @@ SQL = {
     "key_cardinality": f"WITH {_LONG} SELECT src, tag, count(DISTINCT (country_l, value)) AS n_keys, count(*) AS n_rows FROM K GROUP BY ALL",
     "block_sizes": f"WITH {_LONG} SELECT src, country_l, tag, value, count(*) AS n_ids FROM K GROUP BY ALL",
     "block_members_capped": f"WITH {_LONG} SELECT src, entity_id, country_l, tag, value FROM K WHERE src <> 'S1' QUALIFY row_number() OVER (PARTITION BY src, country_l, tag, value ORDER BY entity_id) <= 100",
-    "query_aware_index": f"WITH {_HITS} SELECT src, entity_id, country_l, tag, value FROM t",
+    "query_aware_index": f"WITH {_LONG} SELECT src, entity_id, country_l, tag, value FROM K WHERE src <> 'S1' AND (country_l, tag, value) IN (SELECT (country_l, tag, value) FROM K WHERE src = 'S1')",
     "candidates_cap20": f"WITH {_HITS}, {_ranked(20)} SELECT * FROM c",
     "candidates_cap100": f"WITH {_HITS}, {_ranked(100)} SELECT * FROM c",
     "candidates_v1": f"""WITH {_LONG},
@@ -464,8 +543,15 @@ SELECT s1_id, cand_id, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY tier,
 u AS (SELECT * FROM sh UNION ALL SELECT DISTINCT s1_id, cand_id, 'union' FROM sh) SELECT tag, count(*) AS pairs_found, (SELECT count(*) FROM truth) AS n_pairs, round(count(*) / (SELECT count(*) FROM truth), 6) AS recall FROM u GROUP BY 1""",
     "entity_and_pair_recall": f"""WITH {_HITS}, {_ranked(100)}, pe AS (SELECT s1_id, count(c.cand_id) AS found, count(*) AS pairs FROM truth LEFT JOIN c USING (s1_id, cand_id) GROUP BY 1)
 SELECT count(*) AS n_entities, count(*) FILTER (found > 0) AS entities_hit, sum(pairs)::BIGINT AS n_pairs, sum(found)::BIGINT AS pairs_found, round(count(*) FILTER (found > 0) / count(*), 6) AS entity_recall, round(sum(found) / sum(pairs), 6) AS pair_recall FROM pe""",
-    "recall_at_caps": _recall_rows([(c, 5) for c in CAPS], "SELECT {cap} AS cap, count(x.cand_id) AS pairs_found, count(*) AS n_pairs, round(count(x.cand_id) / count(*), 6) AS recall, round((SELECT count(*) FROM {name}) / (SELECT count(*) FROM ent WHERE src = 'S1'), 6) AS mean_candidates FROM truth LEFT JOIN {name} x USING (s1_id, cand_id)"),
-    "reserve_sweep": _recall_rows([(100, r) for r in RESERVES], "SELECT {reserve} AS reserve, count(DISTINCT CASE WHEN x.cand_id IS NOT NULL THEN s1_id END) AS entities_hit, count(x.cand_id)::BIGINT AS pairs_found FROM truth LEFT JOIN {name} x USING (s1_id, cand_id)"),
+    "recall_at_caps": _recall_rows([(c, 5) for c in CAPS], "SELECT {cap} AS cap, count(x.cand_id) AS pairs_found, count(*) AS n_pairs, round(count(x.cand_id) / count(*), 6) AS recall, count(DISTINCT CASE WHEN x.cand_id IS NOT NULL THEN s1_id END) AS entities_hit, count(DISTINCT s1_id) AS n_entities, round(count(DISTINCT CASE WHEN x.cand_id IS NOT NULL THEN s1_id END) / count(DISTINCT s1_id), 6) AS entity_recall, round((SELECT count(*) FROM {name}) / (SELECT count(*) FROM ent WHERE src = 'S1'), 6) AS mean_candidates FROM truth LEFT JOIN {name} x USING (s1_id, cand_id)"),
+    "reserve_sweep": _recall_rows([(100, r) for r in RESERVES], _RESERVE_ROW),
+    "reserve_experiment": _recall_rows([(100, r) for r in RESERVES], _RESERVE_ROW, _HITS_EXPERIMENT),
+    "blocking_gate": f"""WITH {_HITS}, {_ranked(100)}, m AS (SELECT coalesce(max(n), 0) AS most FROM (SELECT count(*) AS n FROM c GROUP BY s1_id)), pe AS (SELECT s1_id, count(c.cand_id) AS found FROM truth LEFT JOIN c USING (s1_id, cand_id) GROUP BY 1)
+SELECT any_value(most) AS most_candidates, any_value(most) <= 100 AS cap_kept, count(*) AS n_entities, count(*) FILTER (found > 0) AS entities_hit, round(count(*) FILTER (found > 0) / count(*), 6) AS entity_recall, count(*) FILTER (found > 0) / count(*) >= {GATE} AS passes FROM pe, m""",
+    "prepared_recall": f"""WITH {_LONG_DIAGNOSTIC}, {_TRUTH}, sh AS (SELECT DISTINCT s1_id, cand_id, a.tag FROM truth JOIN K a ON a.entity_id = s1_id JOIN K b ON b.entity_id = cand_id AND a.country_l = b.country_l AND a.tag = b.tag AND a.value = b.value WHERE a.tag <> 'h'),
+u AS (SELECT * FROM sh UNION ALL SELECT DISTINCT s1_id, cand_id, 'union' FROM sh) SELECT tag, count(*) AS pairs_found, (SELECT count(*) FROM truth) AS n_pairs, round(count(*) / (SELECT count(*) FROM truth), 6) AS recall FROM u GROUP BY 1""",
+    "positive_rate": f"WITH {_HITS}, {_ranked(20)}, p AS (SELECT CAST(tr.cand_id IS NOT NULL AS INTEGER) AS label FROM c SEMI JOIN labelled USING (s1_id) LEFT JOIN truth tr USING (s1_id, cand_id)) SELECT count(*) AS n_pairs, sum(label)::BIGINT AS n_positive, round(avg(label), 6) AS positive_rate FROM p",
+    "stratified_split": f"""WITH {_SCORED} SELECT s1_id, cand_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || s1_id || '|' || cand_id), s1_id, cand_id) <= ceil(count(*) OVER (PARTITION BY label) * 0.2) AS is_validation FROM ls""",
     "candidate_stats": f"""WITH {_HITS}, {_ranked(100)}, n AS (SELECT e.entity_id, count(c.cand_id) AS n FROM ent e LEFT JOIN c ON c.s1_id = e.entity_id WHERE e.src = 'S1' GROUP BY 1)
 SELECT min(n) AS least, CAST(floor(median(n)) AS BIGINT) AS median, max(n) AS most, round(avg(n), 6) AS mean, count(*) AS n_entities FROM n""",
     "threshold_sweep": f"WITH {_SWEEP} SELECT * FROM sw",
@@ -475,15 +561,15 @@ SELECT min(n) AS least, CAST(floor(median(n)) AS BIGINT) AS median, max(n) AS mo
     "quality_report": f"""WITH {_HITS}, {_ranked(100)},
 o AS (SELECT source1_entity_id AS s1_id, list_filter(list_transform(string_split(coalesce(matched_entity_ids, ''), ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS ids FROM train_matches),
 ea AS (SELECT s1_id, unnest(ids) AS id FROM o),
-z AS (SELECT 'duplicate row' AS rule, 'error' AS level, (SELECT count(*) FROM (SELECT s1_id FROM o GROUP BY 1 HAVING count(*) > 1)) AS n
-UNION ALL SELECT 'repeated id', 'error', (SELECT count(*) FROM o WHERE len(ids) > len(list_distinct(ids)))
-UNION ALL SELECT 'self match', 'error', (SELECT count(*) FROM ea WHERE id LIKE 'S1-%')
-UNION ALL SELECT 'wrong prefix', 'error', (SELECT count(*) FROM ea WHERE NOT regexp_matches(id, '^S[123]-'))
-UNION ALL SELECT 'missing row', 'error', (SELECT count(*) FROM ent WHERE src = 'S1' AND entity_id NOT IN (SELECT s1_id FROM o))
-UNION ALL SELECT 'extra row', 'error', (SELECT count(DISTINCT s1_id) FROM o WHERE s1_id NOT IN (SELECT entity_id FROM ent WHERE src = 'S1'))
-UNION ALL SELECT 'unknown id', 'error', (SELECT count(DISTINCT id) FROM ea WHERE regexp_matches(id, '^S[23]-') AND id NOT IN (SELECT entity_id FROM ent WHERE src <> 'S1'))
-UNION ALL SELECT 'not among candidates', 'warning', (SELECT count(DISTINCT s1_id) FROM (SELECT s1_id, id AS cand_id FROM ea) ANTI JOIN c USING (s1_id, cand_id)))
-SELECT * FROM z WHERE n > 0""",
+z AS (SELECT 'duplicate row' AS rule, 'error' AS level, s1_id AS x FROM o GROUP BY s1_id HAVING count(*) > 1
+UNION ALL SELECT 'repeated id', 'error', s1_id FROM o WHERE len(ids) > len(list_distinct(ids))
+UNION ALL SELECT 'self match', 'error', s1_id FROM ea WHERE id LIKE 'S1-%'
+UNION ALL SELECT 'wrong prefix', 'error', s1_id FROM ea WHERE NOT regexp_matches(id, '^S[123]-')
+UNION ALL SELECT 'missing row', 'error', entity_id FROM ent WHERE src = 'S1' AND entity_id NOT IN (SELECT s1_id FROM o)
+UNION ALL SELECT DISTINCT 'extra row', 'error', s1_id FROM o WHERE s1_id NOT IN (SELECT entity_id FROM ent WHERE src = 'S1')
+UNION ALL SELECT DISTINCT 'unknown id', 'error', id FROM ea WHERE regexp_matches(id, '^S[23]-') AND id NOT IN (SELECT entity_id FROM ent WHERE src <> 'S1')
+UNION ALL SELECT DISTINCT 'not among candidates', 'warning', s1_id FROM (SELECT s1_id, id AS cand_id FROM ea) ANTI JOIN c USING (s1_id, cand_id))
+SELECT rule, level, count(*) AS n, array_to_string(list_sort(list_distinct(list(x)))[1:5], ',') AS examples FROM z GROUP BY ALL""",
     "output_row_counts": """WITH o AS (SELECT len(list_filter(list_transform(string_split(coalesce(matched_entity_ids, ''), ','), lambda x: trim(x, ' ')), lambda x: x <> '')) AS k FROM train_matches)
 SELECT count(*) AS n_rows, count(*) FILTER (k = 0) AS n_empty, count(*) FILTER (k > 0) AS n_matched, round(avg(CASE WHEN k > 0 THEN 1.0 ELSE 0.0 END) * 100, 6) AS matched_percent FROM o""",
     "exact_sample": f"WITH {_ENT} SELECT entity_id FROM ent WHERE src = 'S1' ORDER BY md5('42|' || entity_id), entity_id LIMIT 500",

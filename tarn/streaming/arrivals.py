@@ -8,15 +8,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tarn.operators import blocking as B
 from tarn.operators.entities import enrich, with_keys
+from tarn.storage import cut
 
 
 def serve_candidates(arriving: DataFrame, targets: DataFrame, path: str, checkpoint: str, cap: int = 20) -> StreamingQuery:
     """Ranked candidates of streamed source 1 rows (entity_id, business_name, business_address, country), appended to Parquet.
 
-    The targets' capped block table is static: each micro-batch is joined to it as in batch, so a record gets the candidates it
+    The targets' capped block table is written once to the shared folder: each micro-batch is joined to it as in batch, so a record gets the candidates it
     would get there. A batch that is repeated after a failure overwrites its own folder.
     """
-    index = B.capped(B.key_table(targets))
+    index = cut(B.capped(B.key_table(targets)))
 
     def run(batch: DataFrame, number: int) -> None:
         s1 = with_keys(enrich(batch.dropDuplicates(["entity_id"]))).withColumn("src", F.substring("entity_id", 1, 2))

@@ -30,7 +30,7 @@ def test_per_key_with_a_hot_key(spark):
 def packed(spark, rows, known):
     df = spark.createDataFrame(rows, "k string, f string").withColumn("field", F.lit("z")).withColumn("value", F.lit(1))
     words = spark.createDataFrame([(x,) for x in known], "v string")
-    out = K.split_packed(df, "k", "f", words, "v").collect()
+    out = K.split_packed(df, "k", "f", words, "v", known_only=True).collect()
     return sorted((r["key"], r["pos"], r["value"]) for r in out)
 
 
@@ -51,7 +51,7 @@ def test_packed_values(spark):
 def test_packed_unknown_pieces_and_random_round_trip(spark):
     df = spark.createDataFrame([("1", "Ann; 'foo' ,bar")], "k string, f string")
     words = spark.createDataFrame([("Ann",)], "v string")
-    got = K.split_packed(df, "k", "f", words, "v", known_only=False).orderBy("pos").collect()
+    got = K.split_packed(df, "k", "f", words, "v").orderBy("pos").collect()
     assert [(r["pos"], r["value"], r["known"]) for r in got] == [(1, "Ann", True), (2, "foo", False), (3, "bar", False)]
     r = random.Random(5)
     known = [f"S2-{r.randrange(10**9):09d}" for _ in range(40)]
@@ -173,3 +173,44 @@ def test_model_round_trip(spark, tmp_path):
     assert back["feats"] == ["a", "b", "absent"] and back["thr"] == thr and back["cap"] == 20
     with pytest.raises(ValueError):
         L.train(df.where("label = 1"), ["a"])
+
+
+@pytest.mark.parametrize("n", [0, 7, 900, 5000])
+def test_exact_sample_is_the_first_in_hash_order(spark, n):
+    import hashlib
+
+    from tarn.operators.sampling import exact_sample
+
+    ids = [f"k{i}" for i in range(3000)]
+    want = sorted(ids, key=lambda x: (hashlib.md5(f"42|{x}".encode()).hexdigest(), x))[:n]
+    df = spark.createDataFrame([(x, "z", 1) for x in ids], "id string, n string, __b int")
+    assert sorted(r["id"] for r in exact_sample(df.drop("__b"), "id", n).collect()) == sorted(want)
+    assert exact_sample(df.limit(0).drop("__b"), "id", n).count() == 0
+
+
+def test_kept_at_equals_ranking_for_each_setting(spark):
+    from tarn.operators.blocking import kept_at, rank_hits
+
+    r = random.Random(3)
+    rows = list({(f"S1-{r.randrange(6)}", f"S2-{r.randrange(40):02d}", t, p, "S2") for _ in range(500) for t, p in [r.choice([("p", 0), ("t", 3), ("h", 6), ("h", 6)])]})
+    hits = spark.createDataFrame(rows, "s1_id string, cand_id string, tag string, prio int, src string")
+    settings = [(0, 5), (3, 5), (10, 5), (10, 0), (20, 30), (100, 10)]
+    got = kept_at(hits, settings).collect()
+    for i, (cap, reserve) in enumerate(settings):
+        want = {(x["s1_id"], x["cand_id"]) for x in rank_hits(hits, cap, reserve).collect()}
+        assert {(x["s1_id"], x["cand_id"]) for x in got if x["kept"][i]} == want, (cap, reserve)
+
+
+def test_boosted_trees_and_positive_rate(spark):
+    from tarn.operators import model as L
+    from tarn.operators.evaluate import positive_rate
+
+    r = random.Random(2)
+    rows = [(f"a{i}", x, y, int((x > 0.5) != (y > 0.5))) for i, x, y in ((i, r.random(), r.random()) for i in range(400))]
+    df = spark.createDataFrame(rows, "s1_id string, x double, y double, label int")
+    scored = L.score(L.train(df, ["x", "y"], boosted=True, trees=20), df, ["x", "y"]).collect()
+    assert sum((s["prob"] >= 0.5) == (s["label"] == 1) for s in scored) > 380  # no linear model can
+    rate = positive_rate(df).first()
+    assert (rate["n_pairs"], rate["n_positive"]) == (400, sum(x[3] for x in rows)) and positive_rate(df.limit(0)).first()["positive_rate"] == 0.0
+    with pytest.raises(ValueError):
+        L.train(df.where("label = 1"), ["x", "y"])

@@ -117,6 +117,21 @@ def test_train_and_score_covers_unlabelled_records(spark):
     assert matched & known and matched - known
 
 
+def test_training_sees_the_features_that_are_registered(spark, sf):
+    """Edit measures of empty strings are the kernels' own in training as in feature_vectors_11."""
+    want = {(r["s1_id"], r["cand_id"]): r["name_lev"] for r in resolution.feature_vectors_11(spark, sf).collect()}
+    got = {(r["s1_id"], r["cand_id"]): r["name_lev"] for r in resolution._candidate_features(spark, sf, ["name_lev"], guarded=False).collect()}
+    assert got == want
+
+
+def test_rescored_matches_come_from_the_first_places(spark):
+    d = "/root/testdata/sf0.01"
+    lists = {r[0]: r[1].split(",")[: resolution.FIRST] for r in resolution.candidate_lists(spark, d).collect()}
+    rows = resolution.rescored_match(spark, d).collect()
+    assert len(rows) == len(lists) and any(r[1] for r in rows)
+    assert all(set(r[1].split(",")) - {""} <= set(lists[r[0]]) for r in rows)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
