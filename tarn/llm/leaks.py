@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,36 +23,45 @@ RANK, OVERSAMPLE, POWER = 96, 16, 1
 #: Passages that the latent space is fitted on, taken by hash of the key; all are searched.
 FIT_PASSAGES = 100_000
 #: Least cosine of a candidate; the README has its measured recall.
-COSINE = 0.80
+COSINE = 0.72
 #: Words of dense parts that one search task takes.
-WORDS_PER_TASK = 8_000_000
-#: Items are a stated query set; more than this many are searched in blocks.
-ITEM_BLOCK = 5_000
+WORDS_PER_TASK = 1_000_000
+#: Items are a stated query set and are searched in blocks of so many items or words: what travels with a task (vocabulary,
+#: latent space, query passages) has the size of a block.
+ITEM_BLOCK, ITEM_WORDS = 5_000, 1_000_000
 
 _opening = re.compile(r"^.*?[.!?](?=\s|$)", re.S)
 
 
-def item_words(text: str | None) -> list[str]:
-    """Words of an item without its opening line (the first sentence)."""
-    return words(_opening.sub("", text or "", count=1))
+def item_words(text: str | None, alone: bool = False) -> list[str]:
+    """Words of an item without its opening line (the first sentence). alone: the first sentence is no other item's, so of an
+    item that has no other sentence it is the body."""
+    body = words(_opening.sub("", text or "", count=1))
+    return words(text) if alone and not body else body
 
 
-def dense_parts(ids: np.ndarray) -> np.ndarray:
+def dense_parts(ids: np.ndarray, lost: int = SPAN // TOLERANCE, span: int = SPAN) -> np.ndarray:
     """ids (0: a word of no item) without what can't belong to a leak.
 
-    SPAN words of a leak hold at least SPAN - SPAN // TOLERANCE words of items; all stretches of SPAN words with so many
-    stay, each followed by a 0. Nothing else can match.
+    SPAN words of a leak hold at least SPAN - lost words of items; all stretches of SPAN words with so many stay, each
+    followed by a 0. Nothing else can match. span: the words of the shortest item where it has fewer, lost in proportion.
     """
+    if span < SPAN:
+        return _stretches(ids, span, span * lost // SPAN)
+    return _stretches(ids, SPAN, lost)
+
+
+def _stretches(ids: np.ndarray, span: int, lost: int) -> np.ndarray:
     n = len(ids)
-    known = np.zeros(n + SPAN + 1, np.int32)
+    known = np.zeros(n + span + 1, np.int32)
     np.cumsum(ids > 0, out=known[1 : n + 1])
     known[n + 1 :] = known[n]
-    start = np.flatnonzero(known[SPAN:] - known[:-SPAN] >= SPAN - SPAN // TOLERANCE)
+    start = np.flatnonzero(known[span:] - known[:-span] >= span - lost)
     if not len(start):
         return ids[:0]
-    edge = np.zeros(n + SPAN + 1, np.int32)
+    edge = np.zeros(n + span + 1, np.int32)
     edge[start] += 1
-    edge[start + SPAN] -= 1
+    edge[start + span] -= 1
     keep = np.cumsum(edge)[:n] > 0
     at = np.flatnonzero(keep)
     gaps = np.flatnonzero(np.diff(at) > 1) + 1
@@ -71,13 +81,13 @@ def longest_common(a: list[int], b: list[int]) -> int:
     return len(a) - s.bit_count()
 
 
-def best_match(item: np.ndarray, part: np.ndarray) -> int:
+def best_match(item: np.ndarray, part: np.ndarray, tolerance: int = TOLERANCE) -> int:
     """Most words that SPAN consecutive words of the item share, in order, with SPAN consecutive words of the text part.
 
-    Items shorter than SPAN are taken whole. 0 when under SPAN - SPAN // TOLERANCE of SPAN (in proportion for shorter ones).
+    Items shorter than SPAN are taken whole. 0 when more than one word in `tolerance` is changed or missing.
     """
     span = min(SPAN, len(item))
-    lost = span // TOLERANCE
+    lost = span // tolerance
     need = span - lost
     if span == 0 or len(part) < need or longest_common(item.tolist(), part.tolist()) < need:
         return 0
@@ -162,7 +172,7 @@ def candidates(model: Model, ids: np.ndarray, cosine: float):
                 yield from zip(some[row].tolist(), model.query_item[q + col].tolist(), score.ravel()[hit].tolist())
 
 
-def _reader(docs: DataFrame, key: str, text: str, vocabulary: dict[str, int], answers: dict[str, int]) -> DataFrame:
+def _reader(docs: DataFrame, key: str, text: str, vocabulary: dict[str, int], answers: dict[str, int], lost: int, span: int) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     size = len(vocabulary)
 
@@ -176,7 +186,7 @@ def _reader(docs: DataFrame, key: str, text: str, vocabulary: dict[str, int], an
                 ids = np.fromiter(map(vocabulary.get, w, [0] * len(w)), np.int32, len(w))
                 seen += 1
                 np.add.at(df, np.unique(ids), 1)
-                part = dense_parts(ids)
+                part = dense_parts(ids, lost, span)
                 if len(part):
                     keys.append(i)
                     rows.append(part)
@@ -194,7 +204,9 @@ def _reader(docs: DataFrame, key: str, text: str, vocabulary: dict[str, int], an
 
 
 def _sketch(rows: DataFrame, weight: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """AᵀA times omega, where A holds the unit TF-IDF rows of all passages of `rows`; summed over a few partitions."""
+    """AᵀA times omega, where A holds the unit TF-IDF rows of all passages of `rows`; partitions' sums are added up on the
+    cluster by blocks of words, so the driver gets one matrix of a block of items' vocabulary."""
+    height = 4096
 
     def run(batches):
         total = np.zeros(omega.shape, np.float64)
@@ -208,11 +220,17 @@ def _sketch(rows: DataFrame, weight: np.ndarray, omega: np.ndarray) -> np.ndarra
                     norm = np.linalg.norm(a, axis=1, keepdims=True)
                     a = np.divide(a, norm, out=np.zeros_like(a), where=norm > 0)
                     total += a.T @ (a @ omega.astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+        for i in range(0, len(total), height):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i : i + height].tobytes()], pa.binary())], names=["i", "part"])
+
+    def add(pdf):
+        total = sum(np.frombuffer(p, np.float64) for p in pdf["part"])
+        return pd.DataFrame({"i": pdf["i"][:1], "part": [total.tobytes()]})
 
     out = np.zeros(omega.shape, np.float64)
-    for r in rows.select("ids").mapInArrow(run, "part binary").collect():  # one matrix of the vocabulary's size a partition
-        out += np.frombuffer(r["part"], np.float64).reshape(omega.shape)
+    for r in rows.select("ids").mapInArrow(run, "i int, part binary").groupBy("i").applyInPandas(add, "i int, part binary").toLocalIterator():
+        part = np.frombuffer(r["part"], np.float64).reshape(-1, omega.shape[1])
+        out[r["i"] : r["i"] + len(part)] = part
     return out
 
 
@@ -228,26 +246,56 @@ def fit_latent(rows: DataFrame, weight: np.ndarray, rank: int = RANK) -> np.ndar
     return q @ vectors[:, ::-1][:, : min(rank, width)]
 
 
-def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, item_answer: str | None = None, cosine: float = COSINE) -> DataFrame:
+def find_leaks(
+    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, item_answer: str | None = None, cosine: float = COSINE, answered: int = TOLERANCE
+) -> DataFrame:
     """(key, item, matched_words, cosine, answer_seen): each document and each item of which it holds a passage.
 
     A passage: SPAN words in sequence of the item's text without its opening line, of which one in TOLERANCE may be changed or
-    missing. Latent semantic retrieval: texts become word ids over the items' vocabulary (and document frequencies over all
-    texts), once, and are kept as a table; the randomised SVD of the passages' TF-IDF rows is summed up over partitions; all
-    passages of all documents meet all query passages in the latent space, and those of at least `cosine` are candidates; a
-    longest-common-subsequence check at the place decides, and the answer's words are looked up in the document. The corpus
-    is never shuffled; the items are the stated query set and travel with the tasks, in blocks of ITEM_BLOCK.
-
-    Null and empty texts and items hold nothing. Items whose body has under SPAN words must be matched whole, in
-    proportion. Repeated documents are each reported, repeated items too. Columns of other names are not read.
+    missing; where the words of the item's answer are in the document too, one in `answered` (at most TOLERANCE, less for
+    paraphrases). Latent semantic retrieval: texts become word ids over the items' vocabulary (and document frequencies over
+    all texts), once, and are kept as a table; the randomised SVD of the passages' TF-IDF rows is summed up over partitions;
+    all passages of all documents meet all query passages in the latent space, and those of at least `cosine` are candidates;
+    a longest-common-subsequence check at the place and the answer's words decide. The corpus is never shuffled, only its
+    parts with enough words of items are, to spread the search; the items are the stated query set and are taken in blocks of
+    ITEM_BLOCK items or ITEM_WORDS words, each with a pass of its own over the corpus.
+
+    Null and empty texts and items hold nothing. Of an item of one sentence that no other item begins with, that sentence is
+    the body; where others begin with it, it is their opening line and the item has nothing to find. Items whose body has
+    under SPAN words must be matched whole, in proportion. Repeated documents are each reported, repeated items too. Columns
+    of other names are not read.
     """
-    spark = docs.sparkSession
-    known = [(r[0], item_words(r[1]), words(r[2])) for r in items.select(items[item_key], items[item_text].cast("string"), (items[item_answer].cast("string") if item_answer else F.lit(None).cast("string"))).collect()]
-    known = [k for k in known if k[1]]
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"`{key}` {kind}, item {item_kind}, matched_words int, cosine double, answer_seen boolean"
-    if not known:
-        return spark.createDataFrame([], schema)
+    out = None
+    for block in _item_blocks(items, item_key, item_text, item_answer):
+        part = _block_leaks(docs, key, text, block, schema, cosine, answered)
+        if part is not None:
+            out = part if out is None else out.unionByName(part)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _item_blocks(items: DataFrame, item_key: str, item_text: str, item_answer: str | None):
+    """Lists of (key, body words, answer words), as many as a block may hold at a time on the driver."""
+    answer = items[item_answer].cast("string") if item_answer else F.lit(None).cast("string")
+    rows = items.select(items[item_key].alias("k"), items[item_text].cast("string").alias("t"), answer.alias("a")).where("t IS NOT NULL")
+    rows = rows.withColumn("first", F.trim(F.regexp_extract("t", r"(?s)^.*?[.!?](?=\s|$)", 0)))
+    shared = rows.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    block, size = [], 0
+    for r in rows.join(shared, "first").select("k", "t", "a", (F.col("n") == 1).alias("alone")).toLocalIterator():
+        body = item_words(r["t"], r["alone"])
+        if body:
+            block.append((r["k"], body, words(r["a"])))
+            size += len(body)
+        if len(block) >= ITEM_BLOCK or size >= ITEM_WORDS:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def _block_leaks(docs: DataFrame, key: str, text: str, known: list, schema: str, cosine: float, answered: int) -> DataFrame | None:
+    spark = docs.sparkSession
     vocabulary: dict[str, int] = {}
     answers: dict[str, int] = {}
     for _, body, answer in known:
@@ -255,8 +303,8 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
             vocabulary.setdefault(w, len(vocabulary) + 1)
         for w in answer:
             answers.setdefault(w, len(answers) + 1)
-    table = cut(_reader(docs, key, text, vocabulary, answers))
-    df = table.where("df IS NOT NULL").select(F.posexplode("df").alias("i", "n"), F.lit(0).alias("s")).groupBy("i").agg(F.sum("n").alias("n")).collect()
+    table = cut(_reader(docs, key, text, vocabulary, answers, SPAN // min(answered, TOLERANCE), min(SPAN, *(len(body) for _, body, _ in known), SPAN)))
+    df = table.where("df IS NOT NULL").select(F.posexplode("df").alias("i", "n"), F.lit(0).alias("s")).groupBy("i").agg(F.sum("n").alias("n")).collect()  # a number for each word of the block
     seen = table.agg(F.sum("seen")).first()[0] or 0
     weight = np.zeros(len(vocabulary) + 1)
     for r in df:
@@ -265,19 +313,14 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     rows = table.where("ids IS NOT NULL").select(key, "ids", "answers")
     cells = rows.agg(F.sum(F.size("ids")).alias("n")).first()["n"]
     if not cells:
-        return spark.createDataFrame([], schema)
+        return None
     parts = -(-cells // WORDS_PER_TASK)
     if parts > rows.rdd.getNumPartitions():  # the table is small in bytes for what its search costs
         rows = rows.repartition(parts)
     share = min(1.0, FIT_PASSAGES * STEP / cells)
     sample = rows.where(F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000) + 1).repartition(min(12, max(1, spark.sparkContext.defaultParallelism)))
     latent = (fit_latent(cut(sample), weight) * weight[:, None]).astype(np.float32)
-    out = None
-    for lo in range(0, len(known), ITEM_BLOCK):
-        some = known[lo : lo + ITEM_BLOCK]
-        part = _search(rows, key, schema, _model(some, vocabulary, latent), [[answers[w] for w in a] for _, _, a in some], cosine)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _search(rows, key, schema, _model(known, vocabulary, latent), [[answers[w] for w in a] for _, _, a in known], cosine, answered)
 
 
 def _model(known: list, vocabulary: dict[str, int], latent: np.ndarray) -> Model:
@@ -290,8 +333,10 @@ def _model(known: list, vocabulary: dict[str, int], latent: np.ndarray) -> Model
     return Model(latent, np.concatenate(vectors), np.array(owner), items, [k for k, _, _ in known])
 
 
-def confirm(model: Model, ids: np.ndarray, ends: np.ndarray, cosine: float) -> list[tuple[int, int, int, float]]:
-    """(row, item number, matched words, best cosine) of the rows laid end to end in ids; row r ends at ends[r]."""
+def confirm(model: Model, ids: np.ndarray, ends: np.ndarray, cosine: float, tolerance) -> list[tuple[int, int, int, float]]:
+    """(row, item number, matched words, best cosine) of the rows laid end to end in ids; row r ends at ends[r].
+
+    tolerance(row, item number): one word in so many may be changed or missing."""
     best: dict[tuple[int, int], dict[int, float]] = {}
     for s, item, c in candidates(model, ids, cosine):
         first, last = np.searchsorted(ends, [s, min(s + PASSAGE, len(ids)) - 1], side="right")
@@ -303,7 +348,7 @@ def confirm(model: Model, ids: np.ndarray, ends: np.ndarray, cosine: float) -> l
         lo, hi = (int(ends[row - 1]) if row else 0), int(ends[row])
         matched = 0
         for s in sorted(at, key=lambda x: -at[x]):
-            matched = best_match(model.items[item], ids[max(lo, s - STEP) : min(hi, s + PASSAGE + STEP)])
+            matched = best_match(model.items[item], ids[max(lo, s - STEP) : min(hi, s + PASSAGE + STEP)], tolerance(row, item))
             if matched:
                 break
         if matched:
@@ -311,17 +356,20 @@ def confirm(model: Model, ids: np.ndarray, ends: np.ndarray, cosine: float) -> l
     return out
 
 
-def _search(rows: DataFrame, key: str, schema: str, model: Model, answers: list[list[int]], cosine: float) -> DataFrame:
+def _search(rows: DataFrame, key: str, schema: str, model: Model, answers: list[list[int]], cosine: float, answered: int) -> DataFrame:
+    wanted = [set(a) for a in answers]
+
     def run(batches):
         for batch in batches:
             lists = batch.column(1)
             ids, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-            found = confirm(model, ids, ends, cosine)
-            seen = [batch.column(2)[row].as_py() for row, _, _, _ in found]
+            stated = batch.column(2)
+            seen = lambda row, item: bool(wanted[item]) and wanted[item] <= set(stated[row].as_py() or ())  # noqa: B023, E731
+            found = confirm(model, ids, ends, cosine, lambda row, item: answered if answered < TOLERANCE and seen(row, item) else TOLERANCE)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([model.keys[f[1]] for f in found]),
                 pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.float64()),
-                pa.array([bool(answers[f[1]]) and set(answers[f[1]]) <= set(s or ()) for f, s in zip(found, seen)], pa.bool_()),
+                pa.array([seen(f[0], f[1]) for f in found], pa.bool_()),
             ], names=[key, "item", "matched_words", "cosine", "answer_seen"])
 
     return rows.mapInArrow(run, schema)

@@ -41,7 +41,10 @@ ALIKE = [
     ("plain text", "ｐｌａｉｎ　ｔｅｘｔ"), ("café", "café"), ("cape", "саре"), ("a b", "a b"), ("word", "wo​rd"), ("soft", "so­ft"), ("fine", "ﬁne"), ("a-b", "a‑b"),
     ("K Ω", "K Ω"), ("x\ny", "x\r\ny"), ("ë", "ё"), ("é", "е‍́"),
 ]
-DIFFERENT = [("text", "Text"), ("cafe", "café"), ("x2", "x²"), ("1/2", "½"), ("word", "words"), ("a b", "ab"), ("0", "O"), ("к", "k")]
+ALIKE += [
+    ("aikpvuyo", "αικρνυγο"), ("ag", "ɑɡ"), ("l l", "ӏ ⅼ"), ("IV viii", "Ⅳ ⅷ"), ("SU", "ՏՍ"), ("DRT", "ᎠᎡᎢ"), ("bold", "𝐛𝐨𝐥𝐝"), ("R", "ℝ"), ("カガ", "ｶｶﾞ"), ("st st", "ﬅ ﬆ"), ("DŽ", "Ǆ"), ("PC", "ⲢⲤ"), ("金", "⾦"), ("x\ny", "x\ry"), ("لا", "ﻻ"),
+]
+DIFFERENT = [("text", "Text"), ("cafe", "café"), ("x2", "x²"), ("1/2", "½"), ("word", "words"), ("a b", "ab"), ("0", "O"), ("к", "k"), ("1", "①"), ("2", "₂"), ("...", "…"), ("a", "ª"), ("kg", "㎏")]
 
 
 def test_forms(spark):
@@ -109,6 +112,18 @@ def test_leaks_against_brute_force(spark):
     assert all(x["matched_words"] >= 21 and x["cosine"] >= K.COSINE for x in out)
 
 
+def test_items_of_one_sentence_short_items_and_paraphrases(spark):
+    r = random.Random(5)
+    one, short, long = sentence(r, 40) + ".", sentence(r, 12), sentence(r, 48)
+    changed = [w if i % 5 else "changed" for i, w in enumerate(long.split())]
+    items = [(1, one, None), (2, f"Read this. {short}", None), (3, f"Read this. {long}", "forty two"), (4, "Read this.", "x"), (5, "Read this.", "y")]
+    docs = [(1, one), (2, "some other words " + short + " and so on"), (3, " ".join([*changed, "the answer is forty two"])), (4, " ".join(changed)), (5, "Read this. " * 20)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, answer string")
+    strict = {(x["doc_id"], x["item"]) for x in K.find_leaks(d, "doc_id", "text", i, "item_id", "text", "answer").collect()}
+    loose = {(x["doc_id"], x["item"]) for x in K.find_leaks(d, "doc_id", "text", i, "item_id", "text", "answer", cosine=0.5, answered=4).collect()}
+    assert strict == {(1, 1), (2, 2)} and loose == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_leaks_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "One. " + sentence(random.Random(1), 30))], "item_id long, text string")
