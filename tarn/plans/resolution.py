@@ -134,9 +134,12 @@ def token_features(spark: SparkSession, d: str) -> DataFrame:
     return out.select("s1_id", "cand_id", *[F.round(n, 6).alias(n) for n in names])
 
 
+EDIT_FEATURES = ["name_lev", "name_token_sort", "addr_lev", "addr_token_sort", "core_name_similarity"]
+
+
 def edit_features(spark: SparkSession, d: str) -> DataFrame:
-    out = X.with_features(_true_attached(spark, d), ["name_lev", "name_token_sort"])
-    return out.select("s1_id", "cand_id", F.round("name_lev", 6).alias("name_lev"), F.round("name_token_sort", 6).alias("name_token_sort"))
+    out = X.with_features(_true_attached(spark, d), EDIT_FEATURES)
+    return out.select("s1_id", "cand_id", *[F.round(n, 6).alias(n) for n in EDIT_FEATURES])
 
 
 def feature_vectors_26(spark: SparkSession, d: str) -> DataFrame:
@@ -468,6 +471,10 @@ def _lcs(pairs: str, name: str) -> str:
 """
 
 
+_EDITED = {
+    "name_lev": ("n1", "n2"), "name_token_sort": tuple(f"array_to_string(list_sort({_tokens(c)}), ' ')" for c in ("n1", "n2")), "addr_lev": ("a1", "a2"),
+    "addr_token_sort": tuple(f"array_to_string(list_sort({_tokens(c)}), ' ')" for c in ("a1", "a2")), "core_name_similarity": (_core("n1"), _core("n2")),
+}
 _SCORED = f"""{_HITS}, {_ranked(20)},
 catt AS (SELECT s1_id, cand_id, rank AS cand_rank, a.norm_name AS n1, b.norm_name AS n2, a.norm_addr AS a1, b.norm_addr AS a2, a.country_l AS c1, b.country_l AS c2, a.postal AS p1, b.postal AS p2
   FROM c JOIN ent a ON a.entity_id = s1_id JOIN ent b ON b.entity_id = cand_id),
@@ -527,8 +534,8 @@ vh AS (SELECT s1_id, cand_id, coalesce(n, 0) AS n, row_number() OVER (PARTITION
 SELECT s1_id, cand_id, CAST(rank AS INTEGER) AS rank FROM vr UNION ALL SELECT s1_id, cand_id, CAST(n + h AS INTEGER) FROM vh""",
     "candidate_lists": f"WITH {_HITS}, {_ranked(20)} SELECT e.entity_id AS source1_entity_id, coalesce(string_agg(cand_id, ',' ORDER BY cand_id), '') AS candidate_entity_ids FROM ent e LEFT JOIN c ON c.s1_id = e.entity_id WHERE e.src = 'S1' GROUP BY 1",
     "token_features": f"WITH {_PAIRS} {_TOKEN_FEATURES}",
-    "edit_features": f"""WITH RECURSIVE {_PAIRS}, pa AS (SELECT s1_id, cand_id, n1 AS a, n2 AS b FROM att), pb AS (SELECT s1_id, cand_id, array_to_string(list_sort({_tokens('n1')}), ' ') AS a, array_to_string(list_sort({_tokens('n2')}), ' ') AS b FROM att),
-{_lcs('pa', 'la')}, {_lcs('pb', 'lb')} SELECT s1_id, cand_id, round(la.r, 6) AS name_lev, round(lb.r, 6) AS name_token_sort FROM la JOIN lb USING (s1_id, cand_id)""",
+    "edit_features": f"""WITH RECURSIVE {_PAIRS}, {', '.join(f"p{n} AS (SELECT s1_id, cand_id, {x} AS a, {y} AS b FROM att)" for n, (x, y) in _EDITED.items())}, {', '.join(_lcs(f'p{n}', f'l{n}') for n in _EDITED)}
+SELECT s1_id, cand_id, {', '.join(f"round(l{n}.r, 6) AS {n}" for n in _EDITED)} FROM {' '.join(f"l{n}" if i == 0 else f"JOIN l{n} USING (s1_id, cand_id)" for i, n in enumerate(_EDITED))}""",
     "tiered_match": f"""WITH {_ENT},
 kn AS (SELECT src, entity_id, country_l, {_KEYNAME} AS n FROM ent),
 kk AS (SELECT * FROM (SELECT src, entity_id, country_l, 0 AS tier, n AS value FROM kn UNION ALL SELECT src, entity_id, country_l, 1, array_to_string(list_sort({_tokens('n')}), ' ') FROM kn
