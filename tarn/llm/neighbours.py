@@ -46,6 +46,15 @@ def _matrix(texts: list[str]) -> np.ndarray:
     return np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width)
 
 
+def _neighbours(letters: np.ndarray) -> np.ndarray:
+    """For each row of letters a bit set for each pair of neighbours in it."""
+    out = np.zeros(len(letters), np.uint64)
+    for k in range(letters.shape[1] - 1):
+        a, b = letters[:, k].astype(np.uint64), letters[:, k + 1].astype(np.uint64)
+        out |= np.where(b > 0, np.uint64(1) << (mixed(a << np.uint64(32) | b) >> np.uint64(58)), np.uint64(0))
+    return out
+
+
 def near_many(texts: list[str], a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """near() of every texts[a[i]], texts[b[i]]: the Levenshtein automaton of one, a bit for each state, reads the other; all
     pairs step together."""
@@ -58,6 +67,9 @@ def near_many(texts: list[str], a: np.ndarray, b: np.ndarray, limit: int) -> np.
     empty = ~long & ((size[a] == 0) | (size[b] == 0))
     out[empty] = np.minimum(np.maximum(size[a], size[b])[empty], limit + 1)
     rest = np.flatnonzero(~long & ~empty & (np.abs(size[a] - size[b]) <= limit))
+    mark = _neighbours(letters)
+    x, y = mark[a[rest]], mark[b[rest]]
+    rest = rest[np.maximum(np.bitwise_count(x & ~y), np.bitwise_count(y & ~x)) <= 3 * limit]  # an edit, a swap too, breaks three at most
     rest = rest[np.argsort(size[a[rest]] + size[b[rest]], kind="stable")]  # alike lengths together
     for at in np.array_split(rest, len(rest) // PAIRS + 1):
         if len(at):
@@ -144,21 +156,22 @@ def letter_keys(texts: list[str], letters: int = 2) -> tuple[np.ndarray, np.ndar
 
 
 def _deal(batches, keys_of: Callable, parts: int):
-    """Rows (part, cells): the keys of a batch for each part, and twice the id, plus one where the key asks."""
+    """Rows (part, cells): the keys of a batch for each part, then to each twice the id, plus one where the key asks. Ids of a
+    batch are close, so kept apart from the keys they compress in the shuffle."""
     for p in batches:
         at, keys, asks = keys_of(list(p["text"]))
         ids = p["id"].to_numpy(np.int64)[at] * 2 + asks
         part = (keys >> np.uint64(33)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
-        cells = np.stack([keys[order].view(np.int64), ids[order]], axis=1)
+        keys, ids = keys[order].view(np.int64), ids[order]
         ends = np.searchsorted(part[order], np.arange(parts + 1))
         some = np.flatnonzero(np.diff(ends))
-        yield pd.DataFrame({"part": some.astype(np.int32), "cells": [cells[ends[i] : ends[i + 1]].tobytes() for i in some]})
+        yield pd.DataFrame({"part": some.astype(np.int32), "cells": [keys[ends[i] : ends[i + 1]].tobytes() + ids[ends[i] : ends[i + 1]].tobytes() for i in some]})
 
 
 def _meet(batches, block: int):
     """Rows (x, y) for the pairs of small shards; (held, asked), both arrays of ids, for blocks of large ones."""
-    blobs = [np.frombuffer(c, np.int64).reshape(-1, 2) for p in batches for c in p["cells"]]
+    blobs = [np.frombuffer(c, np.int64).reshape(2, -1).T for p in batches for c in p["cells"]]
     if not blobs:
         return
     cells = np.concatenate(blobs)
