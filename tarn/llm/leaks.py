@@ -23,7 +23,7 @@ RANK, OVERSAMPLE, POWER = 96, 16, 1
 #: Passages that the latent space is fitted on, taken by hash of the key; all are searched.
 FIT_PASSAGES = 100_000
 #: Least cosine of a candidate; the README has its measured recall.
-COSINE = 0.72
+COSINE = 0.80
 #: Words of dense parts that one search task takes.
 WORDS_PER_TASK = 1_000_000
 #: Items are a stated query set and are searched in blocks of so many items or words: what travels with a task (vocabulary,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 
 import pyarrow as pa
@@ -34,10 +33,14 @@ SAME_LOOK = {"<font>", "<wide>", "<narrow>", "<isolated>", "<initial>", "<medial
 COMPATIBLE = [(0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2160, 0x217F), (0x2F00, 0x2FD5), (0xFB00, 0xFB17)]
 
 
+#: The one block beyond the basic plane whose characters are letters in other fonts.
+MATHEMATICAL = (0x1D400, 0x1D800)
+
+
 def _compatible() -> dict[str, str]:
     """Every character of the Unicode data in Python that a compatibility mapping leaves looking the same, and its mapping."""
     out = {}
-    for code in range(0x80, sys.maxunicode + 1):
+    for code in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(*MATHEMATICAL)):
         c = chr(code)
         kind, _, codes = unicodedata.decomposition(c).partition(" ")
         if kind in SAME_LOOK or kind == "<compat>" and any(a <= code <= b for a, b in COMPATIBLE):

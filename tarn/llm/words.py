@@ -6,7 +6,7 @@ import json
 import re
 import unicodedata
 
-from tarn.llm.lookalike import INVISIBLE, TRANSLATION
+from tarn.llm.lookalike import INVISIBLE, MATHEMATICAL, TRANSLATION
 
 _words = re.compile(r"[^\W_]+").findall
 # Marks of the layouts: cell headings and prompts, code fences, terminal codes.
@@ -15,11 +15,13 @@ _escapes = re.compile(r"\\(?:u([0-9a-fA-F]{4})|([nrtbf\"\\/]))")
 _skipped = {"cell_type", "output_type", "metadata", "name", "nbformat", "nbformat_minor", "execution_count", "id"}
 
 
-_special = re.compile(f"[{INVISIBLE}{re.escape(''.join(map(chr, TRANSLATION)))}]")
+# a class of the basic plane is looked up in a table; characters beyond it would be tried one by one, so the block is a range
+_special = re.compile(f"[{INVISIBLE}{chr(MATHEMATICAL[0])}-{chr(MATHEMATICAL[1] - 1)}{re.escape(''.join(chr(c) for c in TRANSLATION if c < 0x10000))}]")
 
 
 def _plain(m: re.Match) -> str:
-    return TRANSLATION.get(ord(m[0]), "")
+    c = m[0]
+    return TRANSLATION.get(ord(c), c if MATHEMATICAL[0] <= ord(c) < MATHEMATICAL[1] else "")
 
 
 def folded(text: str) -> str:
