@@ -25,3 +25,11 @@ def test_files_are_judged(spark, tmp_path):
     assert validate(spark, str(tmp_path / "none.tsv"), str(tmp_path))[0][0].startswith("matches: no file")
     (tmp_path / "latin.tsv").write_bytes(b"source1_entity_id\tmatched_entity_ids\nS1-1\t\xe9\n")
     assert validate(spark, str(tmp_path / "latin.tsv"), str(tmp_path))[0] == ["matches: not UTF-8"]
+
+
+def test_only_the_first_line_is_the_header(spark):
+    from tarn.validate import _rows
+
+    header = "source1_entity_id\tmatched_entity_ids"
+    lines = spark.createDataFrame([(header,), ("S1-1\tS2-1",), (header,), (header,)], "value string")
+    assert sorted(r["s1_id"] for r in _rows(lines, header).collect()) == ["S1-1", "source1_entity_id", "source1_entity_id"]
