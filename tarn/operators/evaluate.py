@@ -114,9 +114,3 @@ def positive_rate(pairs: DataFrame) -> DataFrame:
     """One row: n_pairs, n_positive and the share of pairs with label 1; 0.0 for none."""
     out = pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("n_positive"))
     return out.withColumn("positive_rate", F.coalesce(F.try_divide("n_positive", "n_pairs"), F.lit(0.0)))
-
-
-def first_per_entity(pairs: DataFrame, n: int) -> DataFrame:
-    """The first n pairs of each entity by rank, ties by id."""
-    w = Window.partitionBy("s1_id").orderBy("rank", "cand_id")
-    return pairs.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
