@@ -76,7 +76,7 @@ def _without(word: str, n: int) -> set[str]:
 
 _TYPOS: dict[str, set[str]] = {}
 for _w in [*_GIVEN, *_TRADE_WORDS]:
-    if len(_w) >= 6:
+    if len(_w) >= (5 if _w in N.GIVEN else 6):
         for _x in _without(_w, 2):
             _TYPOS.setdefault(_x, set()).add(_w)
 

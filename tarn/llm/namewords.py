@@ -51,7 +51,7 @@ TRADE = {
     "cleaning": ["cleaners", "cleaner", "clng"], "clinic": ["clinics", "clnc", "clinique"], "clothing": ["apparel", "garments", "garment"], "communications": ["communication", "comms", "commns"],
     "compagnie": ["cie"], "computers": ["computer", "computing"], "constructions": ["construction", "const", "constr", "constrn"], "consulting": ["consultants", "consultancy", "consultant"],
     "consulting group": ["consulting grp", "cons group", "cons grp"], "couverture": ["couvreur"], "dairy": ["dairies"], "dental associates": ["dental assoc", "dental assocs"],
-    "dental clinic": ["dental", "dentist", "dentists", "dentistry"], "design": ["designs", "designers"], "developers": ["developer", "development", "devt"], "distributors": ["distributor", "distribution", "distrs", "dist"],
+    "dental clinic": ["dental", "dentist", "dentists", "dentistry"], "design": ["designs", "designers"], "developers": ["developer", "development", "devt"], "distributors": ["distributor", "distribution", "distrs"],
     "electricals": ["electrical", "elec", "elecs", "electric", "electricals stores"], "electricite": ["electricien"], "electronics": ["electronic", "electrs"], "engineering": ["engineers", "engineer", "engg", "engrg", "engr"],
     "enterprises": ["enterprise", "entp", "ent", "entps"], "entertainment": ["entmt"], "etablissements": ["ets", "etablissement"], "exports": ["export", "exporters", "exporter"],
     "farm": ["farms", "farmers"], "finance": ["financial", "fin", "finances"], "florist": ["florists", "flowers", "fleuriste"], "foods": ["food", "food products"],
