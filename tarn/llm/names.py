@@ -9,14 +9,14 @@ from functools import lru_cache
 from itertools import permutations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import namewords as N
 from tarn.llm.components import contract, pairs_within
-from tarn.llm.neighbours import BLOCK, letter_keys, near, near_many, sharing
-from tarn.storage import cut
+from tarn.llm.neighbours import BLOCK, KINDS, letter_keys, near, near_many, sharing
+from tarn.storage import cut, scratch
 
 #: Letters taken from either spelling to leave the same letters in both; and edits, a swap of neighbours being one.
 LETTERS, EDITS = 2, 3
@@ -27,6 +27,7 @@ ORDERED = 4
 
 _PHRASES = {tuple(x.split()): k for k, v in N.TRADE.items() for x in [k, *v]}
 _LONGEST = max(map(len, _PHRASES))
+_STARTS = {p[0] for p in _PHRASES}
 _LEGAL = {x: k for k, v in N.LEGAL.items() for x in [k, *v]}
 _GIVEN: dict[str, set[str]] = {}
 for _k, _v in N.GIVEN.items():
@@ -60,6 +61,7 @@ def plain(text: str | None) -> str:
     return _between.sub(" ", t.replace("'", "").replace("’", "").replace("m/s", " ")).strip()
 
 
+@lru_cache(maxsize=200_000)
 def fold(word: str) -> str:
     """Spellings that sound or look alike become one: ph/f, y/i, c/k, rn/m, doubled letters."""
     return _repeated.sub(r"\1", word.replace("rn", "m").replace("ph", "f").replace("y", "i").replace("c", "k").replace("vv", "w"))
@@ -107,13 +109,13 @@ def split_name(text: str | None) -> dict:
     words, towns = out["words"], out["towns"]
     i, town, n = 0, 0, len(w)
     while i < n:
-        size = next((k for k in range(min(_LONGEST, n - i), 0, -1) if tuple(w[i : i + k]) in _PHRASES), 0)
+        x = w[i]
+        size = next((k for k in range(min(_LONGEST, n - i), 0, -1) if tuple(w[i : i + k]) in _PHRASES), 0) if x in _STARTS else 0
         if size:
             out["trade"] = out["trade"] or _PHRASES[tuple(w[i : i + size])]
             i += size
             town = 0
             continue
-        x = w[i]
         if x == "of":
             if i + 1 < n and (w[i + 1],) not in _PHRASES and w[i + 1] not in _LEGAL:
                 town = 2
@@ -175,25 +177,40 @@ def least_edits(x: list[str], y: list[str], limit: int) -> np.ndarray:
     that both have are taken out, and all orders of the rest of one (if no more than ORDERED) are read against the rest of
     the other as it stands.
     """
-    split = {r: tuple(r.split(" ")) for r in {*x, *y}}
     known: dict[str, int] = {}
-    number = lambda texts: [known.setdefault(t, len(known)) for t in texts]
-    every = {r: number(orders(w)) if len(w) < ORDERED else None for r, w in split.items()}
-    at: list[int] = []
-    left: list[int] = []
-    right: list[int] = []
-    for i, (a, b) in enumerate(zip(x, y)):
-        xs, ys = every[a], every[b]
-        if xs is None or ys is None:
-            p, q = Counter(split[a]), Counter(split[b])
-            short, other = sorted((tuple(sorted((p - q).elements())), tuple(sorted((q - p).elements()))), key=len)
-            xs, ys = number(orders(other if len(other) <= ORDERED else short)), number(["".join(short if len(other) <= ORDERED else other)])
-        for s in xs:
-            at += [i] * len(ys)
-            left += [s] * len(ys)
-            right += ys
+    a, b = (np.array([known.setdefault(t, len(known)) for t in side], dtype=np.int64) for side in (x, y))
+    return _least(list(known), a, b, limit)
+
+
+def _least(readings: list[str], x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
+    """least_edits of readings[x[i]] and readings[y[i]]."""
+    split = [r.split(" ") for r in readings]
+    texts: list[str] = []
+    count = np.zeros(len(readings), np.int64)  # none where there are ORDERED words and more
+    for i, w in enumerate(split):
+        if len(w) < ORDERED:
+            every = w if len(w) == 1 else [w[0] + w[1], w[1] + w[0]] if len(w) == 2 else orders(tuple(w))
+            texts += every
+            count[i] = len(every)
+    first = np.cumsum(count) - count
+    n = count[x] * count[y]
+    at = np.repeat(np.arange(len(x)), n)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    left, right = first[x][at] + nth // count[y][at], first[y][at] + nth % count[y][at]
+    more: list[tuple[int, int, int]] = []
+    for i in np.flatnonzero(n == 0):
+        p, q = Counter(split[x[i]]), Counter(split[y[i]])
+        short, other = sorted((tuple(sorted((p - q).elements())), tuple(sorted((q - p).elements()))), key=len)
+        one, all_of = (short, other) if len(other) <= ORDERED else (other, short)
+        texts.append("".join(one))
+        whole = len(texts) - 1
+        for t in orders(all_of):
+            texts.append(t)
+            more.append((i, len(texts) - 1, whole))
+    if more:
+        at, left, right = (np.concatenate([u, v]) for u, v in zip((at, left, right), np.array(more, dtype=np.int64).T))
     out = np.full(len(x), limit + 1)
-    np.minimum.at(out, np.array(at, dtype=np.int64), near_many(list(known), np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), limit))
+    np.minimum.at(out, at, near_many(texts, left, right, limit))
     return out
 
 
@@ -201,9 +218,11 @@ def letter_join(readings: DataFrame, letters: int = LETTERS, block: int = BLOCK)
     """readings(rid long, reading) -> (x, y), x < y: pairs of rid whose letters differ by at most `letters` on either side.
 
     The candidates of the fuzzy join, complete whatever the order and the cut of the words: two spellings within `letters`
-    edits, however many swaps they have besides, share a shard of sharing(). Readings marked AS_WRITTEN have none.
+    edits, however many swaps they have besides, share a shard of sharing(). Readings marked AS_WRITTEN have none. readings may
+    have a column kind (see sharing).
     """
-    keyed = readings.where(~F.col("reading").startswith(AS_WRITTEN)).select(F.col("rid").alias("id"), F.replace("reading", F.lit(" "), F.lit("")).alias("text"))
+    kind = ["kind"] if "kind" in readings.columns else []
+    keyed = readings.where(~F.col("reading").startswith(AS_WRITTEN)).select(F.col("rid").alias("id"), F.replace("reading", F.lit(" "), F.lit("")).alias("text"), *kind)
     return sharing(keyed, lambda texts: letter_keys(texts, letters), block=block)
 
 
@@ -216,26 +235,28 @@ def parse_names(rows: DataFrame, name: str) -> DataFrame:
 
     def parse(batches):
         for p in batches:
-            got = [split_name(x) for x in p["name"]]
-            yield pd.DataFrame({
-                "name": p["name"], "trade": [g["trade"] for g in got], "given": [g["given"] for g in got], "words": [g["words"] for g in got], "towns": [g["towns"] for g in got],
-            })
-
-    parsed = cut(texts.mapInPandas(parse, "name string, trade string, given string, words array<string>, towns array<int>").withColumn("nid", F.monotonically_increasing_id()))
-    towns = parsed.where(F.size("towns") > 0).select(F.explode(F.transform("towns", lambda i: F.get("words", i))).alias("word")).distinct()
-    each = parsed.select("nid", F.posexplode("words").alias("pos", "word"))
-    marked = each.join(towns, "word", "left_semi").groupBy("nid").agg(F.collect_set("pos").alias("elsewhere"))
-
-    def read(batches):
-        for p in batches:
-            out = []
-            for nid, n, t, g, words, own, others in zip(p["nid"], p["name"], p["trade"], p["given"], p["words"], p["towns"], p["elsewhere"]):
-                at = {*own, *(() if others is None else others)}
-                found, trade, given = reading(list(words), [i in at for i in range(len(words))])
-                out.append((nid, n, found or AS_WRITTEN + (plain(n) or n), t or trade, g or given))
-            yield pd.DataFrame(out, columns=["nid", "name", "reading", "trade", "given"])
-
-    return cut(parsed.join(marked, "nid", "left").mapInPandas(read, "nid long, name string, reading string, trade string, given string"))
+            names = p.column("name")
+            got = [split_name(x) for x in names.to_pylist()]
+            columns = [pa.array([g[c] for g in got], kind) for c, kind in (("trade", pa.string()), ("given", pa.string()), ("words", pa.list_(pa.string())), ("towns", pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([names, *columns], ["name", "trade", "given", "words", "towns"])
+
+    with scratch(rows.sparkSession) as keep:
+        parsed = cut(texts.mapInArrow(parse, "name string, trade string, given string, words array<string>, towns array<int>").withColumn("nid", F.monotonically_increasing_id()))
+        towns = parsed.where(F.size("towns") > 0).select(F.explode(F.transform("towns", lambda i: F.get("words", i))).alias("word")).distinct()
+        each = parsed.select("nid", F.posexplode("words").alias("pos", "word"))
+        marked = each.join(towns, "word", "left_semi").groupBy("nid").agg(F.collect_set("pos").alias("elsewhere"))
+
+        def read(batches):
+            for p in batches:
+                out = []
+                for n, t, g, words, own, others in zip(*[p.column(c).to_pylist() for c in ("name", "trade", "given", "words", "towns", "elsewhere")]):
+                    at = {*own, *(others or ())}
+                    found, trade, given = reading(words, [i in at for i in range(len(words))])
+                    out.append((found or AS_WRITTEN + (plain(n) or n), t or trade, g or given))
+                columns = [pa.array(c, pa.string()) for c in zip(*out)] if out else [pa.array([], pa.string())] * 3
+                yield pa.RecordBatch.from_arrays([p.column("nid"), p.column("name"), *columns], ["nid", "name", "reading", "trade", "given"])
+
+        return keep(cut(parsed.join(marked, "nid", "left").mapInArrow(read, "nid long, name string, reading string, trade string, given string")))
 
 
 def given_fit(a: str, b: str) -> bool:
@@ -256,20 +277,23 @@ def _plausible(x: str, y: str, e: int) -> bool:
 def _links(batches, limit: int):
     """Edges between the vertices (reading, trade) of pairs of readings that are spellings of one name."""
     for p in batches:
-        edits = least_edits(list(p["x_reading"]), list(p["y_reading"]), limit)
+        both = pa.concat_arrays([p.column("x_reading"), p.column("y_reading")]).dictionary_encode()
+        texts, at = both.dictionary.to_pylist(), both.indices.to_numpy()
+        a, b = at[: p.num_rows], at[p.num_rows :]
+        edits = _least(texts, a, b, limit)
         out: set[tuple[int, int]] = set()
-        for i in np.flatnonzero(edits <= limit):
-            row, e = p.iloc[i], edits[i]
-            if not _plausible(row["x_reading"], row["y_reading"], e) or e > 1 and not given_fit(row["x_given"], row["y_given"]):
-                continue
+        for row, e in zip(p.take(pa.array(np.flatnonzero(edits <= limit))).to_pylist(), edits[edits <= limit]):
             x, y = (dict(zip(row[s + "_trades"], row[s + "_vids"])) for s in "xy")
             common = [t for t in x if t and t in y]
             if e > 2 and not common:  # three edits need as much to say that it is the same
                 continue
+            if e > 1 and not given_fit(row["x_given"], row["y_given"]) or not _plausible(row["x_reading"], row["y_reading"], e):
+                continue
             out |= {(x[t], y[t]) for t in common}
             if len({*x, *y} - {""}) <= 1:  # one trade in question: a name without a trade may be it
                 out |= {(v, w) for v in x.values() for w in y.values()}
-        yield pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
+        edges = np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_pydict({"u": edges[:, 0], "v": edges[:, 1]})
 
 
 def name_groups(rows: DataFrame, name: str) -> DataFrame:
@@ -280,21 +304,25 @@ def name_groups(rows: DataFrame, name: str) -> DataFrame:
     given names don't contradict. Links go through connected components, so a spelling that is far from another is reached
     over those between. Only longs are shuffled but for the joins that bring texts to vertices.
     """
-    parsed = parse_names(rows, name)
-    vertices = cut(parsed.groupBy("reading", "trade").agg(F.collect_set(F.when(F.col("given") != "", F.col("given"))).alias("given")).withColumn("vid", F.monotonically_increasing_id()))
-    of = vertices.groupBy("reading").agg(
-        F.collect_list("trade").alias("trades"), F.collect_list("vid").alias("vids"), F.array_join(F.array_distinct(F.flatten(F.collect_list("given"))), "|").alias("given"),
-    )
-    of = cut(of.withColumn("rid", F.monotonically_increasing_id()))
-    pairs = letter_join(of.select("rid", "reading"))
-    side = lambda s: of.select(F.col("rid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("reading", "trades", "vids", "given")])
-    links = pairs.join(side("x"), "x").join(side("y"), "y").drop("x", "y").mapInPandas(lambda it: _links(it, EDITS), "u long, v long")
-    nontrivial = F.filter("trades", lambda t: t != "")
-    own = of.where((F.size("trades") == 2) & (F.size(nontrivial) == 1)).select(F.col("vids")[0].alias("u"), F.col("vids")[1].alias("v"))
-    groups = contract(links.union(own))
-    placed = vertices.join(groups.withColumnRenamed("id", "vid"), "vid", "left").select("reading", "trade", F.coalesce("group_id", "vid").alias("organisation"))
-    words = F.when(~F.col("reading").startswith(AS_WRITTEN), F.split("reading", " "))
-    return cut(parsed.join(placed, ["reading", "trade"]).select("name", "organisation", F.coalesce(words, F.array().cast("array<string>")).alias("words")))
+    with scratch(rows.sparkSession) as keep:
+        parsed = parse_names(rows, name)
+        vertices = cut(parsed.groupBy("reading", "trade").agg(F.collect_set(F.when(F.col("given") != "", F.col("given"))).alias("given")).withColumn("vid", F.monotonically_increasing_id()))
+        of = vertices.groupBy("reading").agg(
+            F.collect_list("trade").alias("trades"), F.collect_list("vid").alias("vids"), F.array_join(F.array_distinct(F.flatten(F.collect_list("given"))), "|").alias("given"),
+        )
+        of = cut(of.withColumn("rid", F.monotonically_increasing_id()))
+        stated = F.filter("trades", lambda t: t != "")
+        kind = F.when(F.size(stated) == 1, F.pmod(F.xxhash64(stated[0]), F.lit(KINDS - 1)) + 1).otherwise(0).cast("int")  # of two different trades none are linked
+        pairs = letter_join(of.select("rid", "reading", kind.alias("kind")))
+        side = lambda s: of.select(F.col("rid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("reading", "trades", "vids", "given")])
+        x, y = (F.filter(f"{s}_trades", lambda t: t != "") for s in "xy")
+        one_trade = F.arrays_overlap(x, y) | (F.size(F.array_union(x, y)) <= 1)  # else _links has nothing to link
+        links = pairs.join(side("x"), "x").join(side("y"), "y").where(one_trade).drop("x", "y").mapInArrow(lambda it: _links(it, EDITS), "u long, v long")
+        own = of.where((F.size("trades") == 2) & (F.size(stated) == 1)).select(F.col("vids")[0].alias("u"), F.col("vids")[1].alias("v"))
+        groups = contract(links.union(own))
+        placed = vertices.join(groups.withColumnRenamed("id", "vid"), "vid", "left").select("reading", "trade", F.coalesce("group_id", "vid").alias("organisation"))
+        words = F.when(~F.col("reading").startswith(AS_WRITTEN), F.split("reading", " "))
+        return keep(cut(parsed.join(placed, ["reading", "trade"]).select("name", "organisation", F.coalesce(words, F.array().cast("array<string>")).alias("words"))))
 
 
 def same_organisation(rows: DataFrame, key: str, name: str) -> DataFrame:

@@ -6,19 +6,22 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.storage import cut
+from tarn.storage import cut, cut_counted, drop
 
 #: Most members of a shard that are paired in one go; larger shards are cut into blocks, every block meeting every other.
 BLOCK = 4096
-#: Keys that a task holds, sixteen bytes each.
-TASK_KEYS = 4_000_000
+#: Keys that a task holds; bits of a key that tell it from the others of its task; bytes in which it travels; most kinds of texts.
+TASK_KEYS, KEY_BITS, CELL, KINDS = 4_000_000, 31, 7, 256
+#: From so many keys on they are dealt in as many turns, so that not all of them lie on disk at once.
+TURN_KEYS, TURNS = 100_000_000, 3
 #: Texts up to this length are measured many at once, each letter a bit.
 BITS = 64
-#: Pairs that are measured together.
-PAIRS = 200_000
+#: Pairs that are measured together; most cells of the table of their texts' letters.
+PAIRS, TABLE = 200_000, 8_000_000
 
 
 def near(a: str, b: str, limit: int) -> int:
@@ -70,26 +73,46 @@ def near_many(texts: list[str], a: np.ndarray, b: np.ndarray, limit: int) -> np.
     mark = _neighbours(letters)
     x, y = mark[a[rest]], mark[b[rest]]
     rest = rest[np.maximum(np.bitwise_count(x & ~y), np.bitwise_count(y & ~x)) <= 3 * limit]  # an edit, a swap too, breaks three at most
-    rest = rest[np.argsort(size[a[rest]] + size[b[rest]], kind="stable")]  # alike lengths together
+    rest = rest[np.argsort(size[b[rest]].astype(np.int16), kind="stable")]  # alike lengths together
+    if len(texts) * int(np.bincount(letters.ravel()).astype(bool).sum()) > TABLE and len(rest) > 1:  # many kinds of letters: fewer texts at a time
+        for at in np.array_split(rest, 2):
+            used, which = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+            out[at] = near_many([texts[i] for i in used], which[: len(at)], which[len(at) :], limit)
+        return out
+    codes, there = _places(letters)
     for at in np.array_split(rest, len(rest) // PAIRS + 1):
         if len(at):
             i, j = a[at], b[at]
-            out[at] = np.minimum(_automata(letters[i, : size[i].max()], letters[j, : size[j].max()], size[i], size[j]), limit + 1)
+            out[at] = np.minimum(_automata(there, codes, i, j, size[i], size[j]), limit + 1)
     return out
 
 
-def _automata(pattern: np.ndarray, text: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def _places(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, there): the letters numbered, a row for each place of the texts; there[text, code] has a bit for each place
+    of a letter in a text."""
+    seen = np.zeros(int(letters.max(initial=0)) + 1, bool)
+    seen[letters] = True
+    codes = (np.cumsum(seen, dtype=np.int32) - 1)[letters.T]
+    there = np.zeros((len(letters), int(seen.sum())), np.uint64)
+    rows = np.arange(len(letters))
+    for k in range(len(codes)):
+        there[rows, codes[k]] |= np.uint64(1) << np.uint64(k)
+    return codes, there
+
+
+def _automata(there: np.ndarray, codes: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Edits between texts i (the automata, n letters) and j (read by them, m letters)."""
     one, none = np.uint64(1), np.zeros(len(n), np.uint64)
-    last = one << (n - 1).astype(np.uint64)
+    last = (n - 1).astype(np.uint64)
     up, down, diagonal, before, score = ~none, none, none, none, n.copy()
-    for t in range(text.shape[1]):
-        c, hit = text[:, t], none.copy()
-        for k in range(pattern.shape[1]):
-            hit |= (pattern[:, k] == c).astype(np.uint64) << np.uint64(k)
+    flat, row, m = there.ravel(), i * there.shape[1], m.astype(np.int64)
+    for t in range(m.max()):
+        hit = flat[row + codes[t][j]]
         swap = (~diagonal & hit) << one & before
         diagonal = (((hit & up) + up) ^ up) | hit | down | swap
         more, less = down | ~(diagonal | up), diagonal & up
-        score += np.where(t < m, ((more & last) != 0).astype(np.int64) - ((less & last) != 0), 0)
+        step = (more >> last & one).astype(np.int64) - (less >> last & one).astype(np.int64)
+        score += step if t < m[0] else np.where(t < m, step, 0)  # m is in order
         more, less = more << one | one, less << one
         up, down, before = less | ~(diagonal | more), more & diagonal, hit
     return score
@@ -155,60 +178,97 @@ def letter_keys(texts: list[str], letters: int = 2) -> tuple[np.ndarray, np.ndar
     return np.concatenate(index), np.concatenate(keys), np.concatenate(full)
 
 
-def _deal(batches, keys_of: Callable, parts: int):
-    """Rows (part, cells): the keys of a batch for each part, then to each twice the id, plus one where the key asks. Ids of a
-    batch are close, so kept apart from the keys they compress in the shuffle."""
+def _deal(batches, keys_of: Callable, parts: int, turn: int, turns: int):
+    """Rows (part, block, cells): the keys of one turn for each part, of ids that are alike but for their last 16 bits.
+
+    A cell is a key's KEY_BITS bits, the text's kind in 8, the id's last 16 and whether the key asks, in seven bytes; cells are in order and written
+    byte by byte (all first bytes, then all second ones), so the first bytes compress in the shuffle."""
+    bits = np.uint64(min(KEY_BITS, 39 - int(parts).bit_length()))
     for p in batches:
-        at, keys, asks = keys_of(list(p["text"]))
-        ids = p["id"].to_numpy(np.int64)[at] * 2 + asks
-        part = (keys >> np.uint64(33)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        keys, ids = keys[order].view(np.int64), ids[order]
-        ends = np.searchsorted(part[order], np.arange(parts + 1))
-        some = np.flatnonzero(np.diff(ends))
-        yield pd.DataFrame({"part": some.astype(np.int32), "cells": [keys[ends[i] : ends[i + 1]].tobytes() + ids[ends[i] : ends[i + 1]].tobytes() for i in some]})
+        all_ids, kinds = p.column("id").to_numpy(), p.column("kind").to_numpy().astype(np.uint64)
+        at, keys, asks = keys_of(p.column("text").to_pylist())
+        if turns > 1:
+            mine = keys % np.uint64(turns) == turn
+            at, keys, asks = at[mine], keys[mine], asks[mine]
+        ids = all_ids[at]
+        part = (keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)
+        cells = (part << bits | mixed(keys) >> np.uint64(64) - bits) << np.uint64(25) | kinds[at] << np.uint64(17) | (ids.view(np.uint64) & np.uint64(0xFFFF)) << np.uint64(1) | asks.astype(np.uint64)
+        blocks = ids >> 16
+        for block in np.unique(all_ids >> 16):
+            mine = np.sort(cells[blocks == block])
+            ends = np.searchsorted(mine >> bits + np.uint64(25), np.arange(parts + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(ends))
+            mine = mine & (np.uint64(1) << bits + np.uint64(25)) - np.uint64(1)
+            planes = mine.view(np.uint8).reshape(-1, 8)[:, CELL - 1 :: -1]
+            written = [planes[ends[i] : ends[i + 1]].tobytes("F") for i in some]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "block": pa.array(np.full(len(some), block), pa.int64()), "cells": pa.array(written, pa.binary())})
+
+
+def _read_cells(cells: bytes) -> np.ndarray:
+    planes = np.frombuffer(cells, np.uint8).reshape(CELL, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, CELL - 1 :: -1] = planes.T
+    return out.view(np.uint64).ravel()
 
 
 def _meet(batches, block: int):
     """Rows (x, y) for the pairs of small shards; (held, asked), both arrays of ids, for blocks of large ones."""
-    blobs = [np.frombuffer(c, np.int64).reshape(2, -1).T for p in batches for c in p["cells"]]
-    if not blobs:
+    some, blocks = [], []
+    for p in batches:
+        some += [_read_cells(c) for c in p.column("cells").to_pylist()]
+        blocks += p.column("block").to_pylist()
+    if not some:
+        return
+    sizes = np.fromiter(map(len, some), np.int64, len(some))
+    cells = np.concatenate(some)
+    some.clear()
+    shift = np.uint64(max(64 - KEY_BITS, int(len(cells)).bit_length()))
+    places = np.sort(cells >> np.uint64(25) << shift | np.arange(len(cells), dtype=np.uint64))  # in order of the keys
+    keys = places >> shift
+    alike = keys[1:] == keys[:-1]
+    shared = np.concatenate([[False], alike]) | np.concatenate([alike, [False]])
+    keys, places = keys[shared], (places[shared] & (np.uint64(1) << shift) - np.uint64(1)).astype(np.int64)
+    of = np.searchsorted(np.cumsum(sizes), places, side="right")
+    twice = np.array(blocks, dtype=np.int64)[of] << 17 | (cells[places] & np.uint64(0x1FFFF)).view(np.int64)  # twice the id, one more if it asks
+    kinds = (cells[places] >> np.uint64(17) & np.uint64(KINDS - 1)).astype(np.uint8)
+    del cells, places, of
+    if not len(keys):
         return
-    cells = np.concatenate(blobs)
-    blobs.clear()
-    cells = cells[np.argsort(cells[:, 0], kind="stable")]
-    keys, ids, asks = cells[:, 0], cells[:, 1] >> 1, (cells[:, 1] & 1).astype(bool)
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     for s, n in zip(starts[sizes > block], sizes[sizes > block]):
-        mine = cells[s : s + n, 1]
-        blocks = np.array_split(mine, -(-n // block))
-        for i, b in enumerate(blocks):
-            for c in blocks[i:]:
-                yield pd.DataFrame({"x": [0], "y": [0], "held": [b], "asked": [c]})
-    fits = np.repeat((sizes > 1) & (sizes <= block), sizes)
-    keys, ids, asks, ends = keys[fits], ids[fits], asks[fits], np.repeat(np.cumsum(np.where((sizes > 1) & (sizes <= block), sizes, 0)), sizes)[fits]
-    found, n = [np.empty((0, 2), np.int64)], 0
-    at, step = np.arange(len(keys)), 1
+        cut_up = np.array_split(twice[s : s + n], -(-n // block))
+        for i, b in enumerate(cut_up):
+            for c in cut_up[i:]:
+                yield pa.RecordBatch.from_pydict({"x": [0], "y": [0], "held": [b], "asked": [c]}, schema=_MET)
+    fits = np.repeat(sizes <= block, sizes)
+    ends = np.repeat(np.cumsum(np.where(sizes <= block, sizes, 0)), sizes)[fits]
+    known, number = np.unique(twice[fits] >> 1, return_inverse=True)
+    number, asks, kinds = number.astype(np.uint64), (twice[fits] & 1).astype(bool), kinds[fits]
+    found, n = [np.empty(0, np.uint64)], 0
+    at, step = np.arange(len(number)), 1
     while len(at := at[at + step < ends[at]]):
         i, j = at, at + step
-        good = (asks[i] | asks[j]) & (ids[i] != ids[j])
-        i, j = ids[i[good]], ids[j[good]]
-        found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
+        good = (asks[i] | asks[j]) & (number[i] != number[j]) & ((kinds[i] == kinds[j]) | (kinds[i] == 0) | (kinds[j] == 0))
+        i, j = number[i[good]], number[j[good]]
+        found.append(np.minimum(i, j) << np.uint64(32) | np.maximum(i, j))
         n += len(i)
         step += 1
         if n > 4 * PAIRS:
-            found, n = [np.unique(np.concatenate(found), axis=0)], 0
+            found, n = [np.unique(np.concatenate(found))], 0
             if len(found[0]) > 2 * PAIRS:
-                yield from _rows(found[0])
-                found = [np.empty((0, 2), np.int64)]
-    yield from _rows(np.unique(np.concatenate(found), axis=0))
+                yield from _rows(found[0], known)
+                found = [np.empty(0, np.uint64)]
+    yield from _rows(np.unique(np.concatenate(found)), known)
+
 
+_MET = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("held", pa.list_(pa.int64())), ("asked", pa.list_(pa.int64()))])
 
-def _rows(pairs: np.ndarray):
+
+def _rows(pairs: np.ndarray, known: np.ndarray):
     for part in np.array_split(pairs, len(pairs) // 50_000 + 1):
-        none = np.full(len(part), None, dtype=object)
-        yield pd.DataFrame({"x": part[:, 0], "y": part[:, 1], "held": none, "asked": none})
+        x, y = known[(part >> np.uint64(32)).astype(np.int64)], known[(part & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(part), _MET.field("held").type), pa.nulls(len(part), _MET.field("asked").type)], schema=_MET)
 
 
 def _blocks(batches):
@@ -225,16 +285,24 @@ def _blocks(batches):
 def sharing(texts: DataFrame, keys_of: Callable, per_text: int = 80, block: int = BLOCK) -> DataFrame:
     """texts(id long, text) -> (x, y), x < y: the distinct pairs of ids that share a key, of which one at least asks.
 
-    keys_of(list of texts) -> (index, key, asks) as numpy arrays. Keys travel as numbers, sixteen bytes with the id, packed by
-    part, and are sorted and paired in the task that gets the part; parts follow the counted number of texts (about
-    `per_text` keys each), so a task holds about TASK_KEYS. A key with more than `block` members is cut into blocks that meet
-    in tasks of their own, so no task pairs a hot key alone and nothing is left out.
+    texts may have a column kind, a number under KINDS: texts of different kinds other than 0 need not be paired, and few are.
+
+    keys_of(list of texts) -> (index, key, asks) as numpy arrays. Keys travel as numbers, seven bytes with what tells the id,
+    packed by part, and are sorted and paired in the task that gets the part; parts follow the counted number of texts (about
+    `per_text` keys each), so a task holds about TASK_KEYS. Of more than TURN_KEYS keys a TURNS-th is dealt at a time, and its
+    shuffle files go before the next. A key with more than `block` members is cut into blocks that meet in tasks of their own,
+    so no task pairs a hot key alone and nothing is left out.
     """
     spark = texts.sparkSession
-    texts = cut(texts)
-    parts = max(12, spark.sparkContext.defaultParallelism, texts.count() * per_text // TASK_KEYS + 1)
-    dealt = texts.mapInPandas(lambda it: _deal(it, keys_of, 4 * parts), "part int, cells binary").repartition(parts, "part")
-    met = cut(dealt.mapInPandas(lambda it: _meet(it, block), "x long, y long, held array<long>, asked array<long>"))
+    texts, n = cut_counted(texts if "kind" in texts.columns else texts.withColumn("kind", F.lit(0)))
+    turns = TURNS if n * per_text > TURN_KEYS else 1
+    parts = max(12, spark.sparkContext.defaultParallelism, n * per_text // (TASK_KEYS * turns) + 1)
+    met = None
+    for turn in range(turns):
+        dealt = texts.mapInArrow(lambda it, turn=turn: _deal(it, keys_of, parts, turn, turns), "part int, block long, cells binary").repartitionById(parts, F.col("part"))
+        some = cut(dealt.mapInArrow(lambda it: _meet(it, block), "x long, y long, held array<long>, asked array<long>"))
+        met = some if met is None else met.union(some)
+    drop(texts)
     pairs = met.where("held IS NULL").select("x", "y")
     blocks = met.where("held IS NOT NULL").select("held", "asked")
     if not blocks.isEmpty():

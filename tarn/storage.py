@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,14 +43,27 @@ def _remove_all() -> None:
         _remove(spark, paths)
 
 
+#: With this on, Spark deletes the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df once to the shared folder and read it back: later stages start from a table that survives lost executors."""
+    """Write df once to the shared folder and read it back: later stages start from a table that survives lost executors.
+
+    The shuffle files of the write are deleted at its end, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarn-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _written.setdefault(spark, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
@@ -64,9 +78,29 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 def drop(df: DataFrame) -> None:
     """Delete a table that cut() wrote, when nothing reads it any more."""
-    spark = df.sparkSession
+    _forget(df.sparkSession, [getattr(df, "_cut_path", None)])
+
+
+def _forget(spark: SparkSession, paths: list[str | None]) -> None:
     mine = _written.get(spark, [])
-    gone = [p for p in mine if any(p.rsplit("/", 1)[1] in f for f in df.inputFiles()[:1])]
+    gone = [p for p in mine if p in paths]
     _remove(spark, gone)
     for p in gone:
         mine.remove(p)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that cut() writes in this block are deleted at its end, but for those given to the function it yields.
+
+    with scratch(spark) as keep: ...; return keep(cut(...))"""
+    before, kept = set(_written.get(spark, [])), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._cut_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _forget(spark, [p for p in _written.get(spark, []) if p not in before and p not in kept])

@@ -80,6 +80,30 @@ def test_hot_shards_are_met_in_blocks(spark):
     assert got == {(i, j) for i in range(50) for j in range(i + 1, 50)}
 
 
+def test_texts_of_different_kinds_are_not_paired(spark):
+    kinds = [1, 1, 2, 0, 255]
+    df = spark.createDataFrame([(i + 70_000 * (i % 2), "same", k) for i, k in enumerate(kinds)], "id long, text string, kind int")
+    got = {tuple(x) for x in B.sharing(df, B.letter_keys).collect()}
+    ids = {i + 70_000 * (i % 2): k for i, k in enumerate(kinds)}
+    assert got == {(i, j) for i, p in ids.items() for j, q in ids.items() if i < j and (p == q or 0 in (p, q))}
+
+
+def test_keys_dealt_in_turns_meet_as_at_once(spark, monkeypatch):
+    r = random.Random(12)
+    df = spark.createDataFrame([(i, "".join(r.choice("abcdef") for _ in range(r.randint(4, 8)))) for i in range(300)], "id long, text string")
+    at_once = {tuple(x) for x in B.sharing(df, B.letter_keys).collect()}
+    monkeypatch.setattr(B, "TURN_KEYS", 1)
+    assert at_once and {tuple(x) for x in B.sharing(df, B.letter_keys).collect()} == at_once
+
+
+def test_many_kinds_of_letters(monkeypatch):
+    monkeypatch.setattr(B, "TABLE", 500)
+    r = random.Random(13)
+    texts = ["".join(chr(0x4E00 + r.randrange(300)) if r.random() < 0.5 else "a" for _ in range(5)) for _ in range(60)]
+    i, j = np.divmod(np.arange(3600), 60)
+    assert list(B.near_many(texts, i, j, 3)) == [B.near(texts[x], texts[y], 3) for x, y in zip(i, j)]
+
+
 def test_pairs_of_a_large_group(spark, monkeypatch):
     from tarn.llm import components as C
 
