@@ -15,7 +15,7 @@ from tarn.llm import addresswords as A
 from tarn.llm.components import contract, pairs_within
 from tarn.llm.names import fold
 from tarn.llm.neighbours import near, near_many, sharing
-from tarn.storage import cut
+from tarn.storage import cut, scratch
 
 _TYPE = {x: k for k, v in A.TYPES.items() for x in [k, *v]}
 _BEFORE = set(A.BEFORE)
@@ -304,18 +304,21 @@ def address_groups(rows: DataFrame, address: str) -> DataFrame:
     building only where one alone fits. The keys let nothing of one postcode or town be missed; where the postcode is missing
     or misspelt, of street and town each one end of three letters must be as written, or the town whole.
     """
-    parsed = cut(parse_table(rows, address))
-    forms = cut(parsed.select(*_FORM, "form").distinct().withColumn("id", F.monotonically_increasing_id()))
-    pairs = sharing(forms.select("id", F.col("form").alias("text")), form_keys, 10)
-    side = lambda s: forms.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in _FORM])
-    found = cut(pairs.join(side("x"), "x").join(side("y"), "y").mapInPandas(_compared, "u long, v long, same boolean"))
-    groups = contract(found.where("same").select("u", "v"))
-    placed = cut(forms.join(groups, "id", "left").select("id", "form", F.coalesce("group_id", "id").alias("building"), ((F.col("postcode") == "") & (F.col("town") == "")).alias("bare")))
-    may = found.where("NOT same").select("u", "v").union(found.where("NOT same").select("v", "u")).toDF("id", "other")
-    known = placed.where("NOT bare").select(F.col("id").alias("other"), F.col("building").alias("found"))
-    one = may.join(known, "other").groupBy("id").agg(F.min("found").alias("found"), F.max("found").alias("last")).where("found = last").select("id", "found")
-    final = placed.join(one, "id", "left").select("form", F.when(F.col("bare"), F.coalesce("found", "building")).otherwise(F.col("building")).alias("building"))
-    return cut(parsed.join(final, "form").select("address", "building", "number", "street", "town", "postcode"))
+    with scratch(rows.sparkSession) as keep:
+        with scratch(rows.sparkSession) as still:
+            parsed = still(cut(parse_table(rows, address)))
+        forms = cut(parsed.select(*_FORM, "form").distinct().withColumn("id", F.monotonically_increasing_id()))
+        side = lambda s: forms.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in _FORM])
+        with scratch(rows.sparkSession) as still:
+            pairs = sharing(forms.select("id", F.col("form").alias("text")), form_keys, 10)
+            found = still(cut(pairs.join(side("x"), "x").join(side("y"), "y").mapInPandas(_compared, "u long, v long, same boolean")))
+        groups = contract(found.where("same").select("u", "v"))
+        placed = cut(forms.join(groups, "id", "left").select("id", "form", F.coalesce("group_id", "id").alias("building"), ((F.col("postcode") == "") & (F.col("town") == "")).alias("bare")))
+        may = found.where("NOT same").select("u", "v").union(found.where("NOT same").select("v", "u")).toDF("id", "other")
+        known = placed.where("NOT bare").select(F.col("id").alias("other"), F.col("building").alias("found"))
+        one = may.join(known, "other").groupBy("id").agg(F.min("found").alias("found"), F.max("found").alias("last")).where("found = last").select("id", "found")
+        final = placed.join(one, "id", "left").select("form", F.when(F.col("bare"), F.coalesce("found", "building")).otherwise(F.col("building")).alias("building"))
+        return keep(cut(parsed.join(final, "form").select("address", "building", "number", "street", "town", "postcode")))
 
 
 def same_location(rows: DataFrame, key: str, address: str) -> DataFrame:

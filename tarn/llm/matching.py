@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.addresses import address_groups
 from tarn.llm.names import name_groups
-from tarn.storage import cut
+from tarn.storage import cut, drop, scratch
 
 # Spellings and codes of countries beside their names.
 COUNTRIES = {
@@ -69,13 +69,16 @@ def country_key(c: Column) -> Column:
 def attributes(rows: DataFrame, key: str, name: str, address: str, country: str) -> DataFrame:
     """(id, side, organisation, building, number, street, town, postcode, country_key, words, named) of each distinct row;
     organisation and building are numbers. rows has `side` beside the named columns."""
-    clean = cut(rows.select(
-        F.col(f"`{key}`").alias("id"), "side", F.col(f"`{name}`").cast("string").alias("name"), F.col(f"`{address}`").cast("string").alias("address"), country_key(F.col(f"`{country}`")).alias("country_key")
-    ).where("id IS NOT NULL").distinct())
-    names, places = name_groups(clean, "name"), address_groups(clean, "address")
-    places = places.select("address", "building", *[F.when(F.col(c) != "", F.xxhash64(c)).alias(c) for c in ("number", "street", "town", "postcode")])
-    full = clean.join(names, "name", "left").join(places, "address", "left")
-    return cut(full.withColumn("named", F.coalesce(F.col("name").rlike(r"(?U)\w"), F.lit(False))).drop("name", "address").distinct())
+    with scratch(rows.sparkSession) as keep:
+        clean = cut(rows.select(
+            F.col(f"`{key}`").alias("id"), "side", F.col(f"`{name}`").cast("string").alias("name"), F.col(f"`{address}`").cast("string").alias("address"), country_key(F.col(f"`{country}`")).alias("country_key")
+        ).where("id IS NOT NULL").distinct())
+        names = name_groups(clean, "name")
+        known = cut(clean.join(names, "name", "left").withColumn("named", F.coalesce(F.col("name").rlike(r"(?U)\w"), F.lit(False))).drop("name"))
+        drop(clean)
+        drop(names)
+        places = address_groups(known, "address").select("address", "building", *[F.when(F.col(c) != "", F.xxhash64(c)).alias(c) for c in ("number", "street", "town", "postcode")])
+        return keep(cut(known.join(places, "address", "left").drop("address").distinct()))
 
 
 def _cell(n: int, on: list[str]):
@@ -94,7 +97,9 @@ def _keys(records: DataFrame, rules: tuple[Rule, ...], side: str) -> DataFrame:
             given = given & F.col(c).isNotNull()
         cells.append(F.when(given, F.transform(F.coalesce(words, F.array().cast("array<bigint>")), _cell(n, plain))))
     keyed = records.withColumn("k", F.explode(F.flatten(F.array_compact(F.array(*cells)))))
-    return keyed.select("k.k1", "k.k2", "k.rule", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "building", "number", "named", "country_key")])
+    asked = F.col("k.rule").isin([n for n, rule in enumerate(rules) if "number" in rule.both])  # other rows travel without it
+    number = F.when(asked, F.col("number")).alias(f"{side}_number")
+    return keyed.select("k.k1", "k.k2", "k.rule", number, *[F.col(c).alias(f"{side}_{c}") for c in ("id", "building", "named", "country_key")])
 
 
 def _flagged(records: DataFrame) -> DataFrame:
@@ -128,21 +133,26 @@ def match_entities(
     fields = [F.col(f"`{c}`").alias(c) for c in (key, name, address, country)]
     side = lambda t, s: t.select(*fields).withColumn("side", F.lit(s))
     both = attributes(side(left, "l").unionByName(side(right, "r")), key, name, address, country)
-    l, r = (_keys(_flagged(both.where(F.col("side") == s)), rules, s) for s in "lr")
+    sides = [cut(_flagged(both.where(F.col("side") == s))) for s in "lr"]
+    drop(both)
+    l, r = (_keys(rows, rules, s) for rows, s in zip(sides, "lr"))
     pairs = l.join(r, ["k1", "k2", "rule"]).where("l_id <> r_id")
     agree = F.col("l_country_key").isNull() | F.col("r_country_key").isNull() | (F.col("l_country_key") == F.col("r_country_key")) | F.coalesce(F.col("l_building") == F.col("r_building"), F.lit(False))
     extra = F.lit(True)
     for n, rule in enumerate(rules):
         extra = F.when(F.col("rule") == n, F.expr(rule.both)).otherwise(extra)
-    pairs = pairs.where(extra & ((F.col("rule") == 0) | agree)).groupBy("l_id", "r_id").agg(F.min("rule").alias("rule"))
+    pairs = cut(pairs.where(extra & ((F.col("rule") == 0) | agree)).groupBy("l_id", "r_id").agg(F.min("rule").alias("rule")))
     first = pairs.withColumn("first", F.min("rule").over(Window.partitionBy("r_id"))).where("rule = first").drop("first")
     found = cut(first)
+    for spent in (*sides, pairs):
+        drop(spent)
     names = F.element_at(F.array(*[F.lit(x.name) for x in rules]), F.col("rule") + 1)
     if labels is None:
         return found.select("l_id", "r_id", names.alias("rule"), F.lit(PRIOR_SHARE).alias("confidence"))
     labels = labels.select("l_id", "r_id").distinct()
     known = (labels if known is None else known).select("l_id").distinct().withColumn("fold", F.pmod(F.xxhash64("l_id"), F.lit(FOLDS)).cast("int"))
     marked = cut(found.join(known, "l_id", "left").join(labels.withColumn("right", F.lit(1)), ["l_id", "r_id"], "left"))
+    drop(found)
     sums = marked.where("fold IS NOT NULL").groupBy("rule", "fold").agg(F.count("right").alias("hits"), F.count(F.lit(1)).alias("n"))
     per = sums.groupBy("rule").agg(F.sum("hits").alias("all_hits"), F.sum("n").alias("all_n"))  # a row for each rule
     share = (F.coalesce("all_hits", F.lit(0)) - F.coalesce("hits", F.lit(0)) + PRIOR * PRIOR_SHARE) / (F.coalesce("all_n", F.lit(0)) - F.coalesce("n", F.lit(0)) + PRIOR)

@@ -1,11 +1,14 @@
 """Components, splits and segmentation: against brute force, with edge cases."""
 
 import random
+import time
+from pathlib import Path
 
 import pytest
 
 from tarn.llm import splits as P
 from tarn.llm.components import connected_components
+from tarn.storage import cut, scratch
 
 
 def groups(links, extra=()):
@@ -98,3 +101,19 @@ def test_linked_records_share_a_split(spark):
     out = {x["entity_id"]: (x["group_id"], x["split"]) for x in P.split_linked(links, "r", "s", {"train": 0.5, "test": 0.5}, spark.createDataFrame([("e",)], "r string")).collect()}
     assert set(out) == {"a", "b", "c", "d", "x", "e"}  # the record x is not the shared thing x
     assert out["a"] == out["b"] == out["c"] and out["x"][0] == "x" and out["e"][0] == "e"
+
+
+def test_shuffles_and_tables_go_when_a_table_is_written(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: str(disk.getAllFiles().mkString(" ")).count("shuffle_")
+    before, counted = shuffles(), spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    with scratch(spark) as keep:
+        first = cut(counted)
+        last = keep(cut(first.where("k > 2")))
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before
+    assert last.count() == 4 and not Path(first._cut_path.removeprefix("file://")).exists()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
